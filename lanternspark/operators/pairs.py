@@ -1,0 +1,134 @@
+"""Pairs of rows that share a key, with hot keys split into blocks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from ..plans.session import cut_lineage
+
+
+def _runs(key: list[np.ndarray]) -> np.ndarray:
+    """Start of each run of equal keys, and the end."""
+    n = len(key[0])
+    change = np.zeros(n, dtype=bool)
+    change[0] = True
+    for k in key:
+        change[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(change), n)
+
+
+def _emit(keys: list[np.ndarray], ids: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right) ids of all pairs in runs of at most small rows; the rows of longer runs."""
+    keep = np.ones(len(ids), dtype=bool)  # a repeated (key, id) counts once; rows are sorted
+    same = ids[1:] == ids[:-1]
+    for k in keys:
+        same &= k[1:] == k[:-1]
+    keep[1:] = ~same
+    rows = np.flatnonzero(keep)
+    ids, keys = ids[rows], [k[rows] for k in keys]
+    at = _runs(keys)
+    size = np.diff(at)
+    long = np.repeat(size > small, size)
+    last = np.repeat(at[1:], size)
+    left, right = [], []
+    here = np.flatnonzero(~long & (last - np.arange(len(ids)) > 1))
+    d = 1
+    while len(here):
+        left.append(ids[here])
+        right.append(ids[here + d])
+        d += 1
+        here = here[here + d < last[here]]
+    none = np.empty(0, dtype=ids.dtype)
+    return np.concatenate(left or [none]), np.concatenate(right or [none]), rows[long]
+
+
+def sorted_run_pairs(df: DataFrame, keys: list[str], id_col: str, small: int = 64) -> DataFrame:
+    """All pairs id_a < id_b of rows with equal keys (long columns); each pair once for each key.
+
+    Rows are hash-partitioned by key and sorted; runs up to `small` distinct ids are
+    paired by vectorised offsets.  Longer runs leave as rows and are paired in blocks of
+    `small` x `small`, spread over the cluster, so that a hot key is never held in one
+    task and no pair is lost.  Null keys never pair.  Result: id_a, id_b.
+    """
+    cols = [*keys, id_col]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def out(part: list[np.ndarray], long_seen: bool) -> Iterator[pa.RecordBatch]:
+            a, b, hot = _emit(part[:-1], part[-1], 0 if long_seen else small)
+            none = [np.full(len(a), -1, dtype=np.int64)] * (len(keys))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*none, a, b)], names=[*keys, "id_a", "id_b"])
+            if len(hot):
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x[hot]) for x in part), pa.nulls(len(hot), pa.int64())], names=[*keys, "id_a", "id_b"]
+                )
+
+        flowing = False  # the held rows' run has already been given out as hot
+        for b in batches:
+            part = [np.asarray(b.column(c)) for c in cols]
+            if not len(part[0]):
+                continue
+            if rest is not None:
+                part = [np.concatenate([r, p]) for r, p in zip(rest, part)]
+            at = _runs(part[:-1])
+            cut = at[-2]
+            if len(at) == 2 and len(part[0]) > 8 * small:  # one hot run fills all: pass it on
+                yield from out(part, True)
+                rest, flowing = [p[:0] for p in part], True
+                last_key = [p[-1] for p in part[:-1]]
+                continue
+            if flowing:
+                head = at[1] if all(p[0] == k for p, k in zip(part[:-1], last_key)) else 0
+                if head:
+                    yield from out([p[:head] for p in part], True)
+                    part = [p[head:] for p in part]
+                    cut = max(cut - head, 0)
+                    if not len(part[0]):
+                        rest = [p[:0] for p in part]
+                        continue
+                flowing = False
+            yield from out([p[:cut] for p in part], False) if cut else ()
+            rest = [p[cut:] for p in part]
+        if rest is not None and len(rest[0]):
+            if flowing and all(p[0] == k for p, k in zip(rest[:-1], last_key)):
+                yield from out(rest, True)
+            else:
+                yield from out(rest, False)
+
+    schema = ", ".join([*(f"{k} long" for k in keys), "id_a long", "id_b long"])
+    rows = (
+        df.select(*(F.col(c).cast("long") for c in cols))
+        .where(" and ".join(f"{c} is not null" for c in cols))
+        .repartition(*keys)
+        .sortWithinPartitions(*cols)
+        .mapInArrow(pairs, schema)
+    )
+    rows = cut_lineage(rows)
+    cold = rows.where("id_b is not null").select("id_a", "id_b")
+    hot = rows.where("id_b is null").select(*keys, F.col("id_a").alias("id")).distinct()
+    return cold.unionByName(block_pairs(hot, keys, small))
+
+
+def block_pairs(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Pairs of `id` under equal keys, by blocks: a key of n rows becomes about (n/block)^2/2 small groups.
+
+    Each group holds two blocks and is paired on its own, wherever it lands.
+    """
+    size = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("_nb"))
+    r = rows.join(size, keys).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
+    r = r.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    r = r.select(*keys, "id", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    on = [*keys, "_i", "_j"]
+    a = r.select(*on, F.col("id").alias("id_a"), F.col("_b").alias("_ba"))
+    b = r.select(*on, F.col("id").alias("id_b"), F.col("_b").alias("_bb"))
+    return (
+        a.join(b, on)
+        .where("id_a < id_b and ((_i = _j) or (_ba <> _bb))")
+        .select("id_a", "id_b")
+    )
