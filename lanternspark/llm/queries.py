@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import forest
+from . import forest, winnow
 from .records import SPLITS, read
 
 QUERIES: dict = {}
@@ -16,6 +16,24 @@ def query(f):
     return f
 
 
+def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, SPLITS["val"]).withColumn("split", F.lit("val")).unionByName(
+        read(spark, sf_dir, SPLITS["test"]).withColumn("split", F.lit("test"))
+    )
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training and an evaluation record with similarity of at least 0.5 over three-word sequences."""
+    return winnow.overlapping_records(read(spark, sf_dir, SPLITS["train"]), _held_out(spark, sf_dir))
+
+
+@query
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked records, pairs and coverage per evaluation split and source."""
+    return winnow.overlap_report(read(spark, sf_dir, SPLITS["train"]), _held_out(spark, sf_dir))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of training records with similarity of at least 0.5 over three-word sequences."""
