@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import forest, winnow
+from . import fmindex, forest, winnow
 from .records import SPLITS, read
 
 QUERIES: dict = {}
@@ -38,3 +38,22 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of training records with similarity of at least 0.5 over three-word sequences."""
     return forest.similar_records(read(spark, sf_dir, SPLITS["train"]), k=3, least=0.5, floor=0.55)
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark_items"))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least a quarter of an evaluation item's four-word sequences."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+@query
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the matched share and the word spans to remove."""
+    return _leaks(spark, sf_dir).select(
+        "doc_id", "item_id", F.round("share", 6).alias("share"), F.size("spans").cast("long").alias("spans"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias("words"),
+    ).distinct()
