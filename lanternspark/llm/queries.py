@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fmindex, forest, winnow
+from . import answers, fmindex, forest, truncation, winnow
 from .records import SPLITS, read
 
 QUERIES: dict = {}
@@ -57,3 +57,22 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "item_id", F.round("share", 6).alias("share"), F.size("spans").cast("long").alias("spans"),
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]).alias("words"),
     ).distinct()
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers of retomaton with their defect."""
+    return answers.defects(read(spark, sf_dir, "retomaton"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose generated text is cut off."""
+    cut = truncation.truncated(read(spark, sf_dir, "retomaton"), "gen_id", ("generated",), other_text=("reference", "prompt"))
+    return cut.select(F.col("row_id").alias("gen_id")).distinct()
+
+
+@query
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut texts by source, with the evidence."""
+    return truncation.truncation_rates(read(spark, sf_dir, "retomaton"), "gen_id", "generated", other_text=("reference", "prompt"))
