@@ -31,7 +31,7 @@ REFUSALS = (
     "i have to pass", "i must pass", "i don t have the training", "i do not have the training", "i don t have the expertise",
     "i m sorry but", "i am sorry but", "i apologize but", "i apologise but", "apologies but", "sorry but i", "sorry i am unable", "sorry i cannot",
     "sorry i can t", "outside my abilities", "beyond my abilities", "outside my scope", "outside of my scope", "beyond my scope", "not something i can",
-    "not appropriate for me", "inappropriate for me", "policy does not allow me", "policy prevents me", "does not allow me to",
+    "not appropriate for me", "not be appropriate for me", "inappropriate for me", "guidelines prevent me", "guidelines do not allow me", "policy does not allow me", "policy prevents me", "does not allow me to",
     "not able to help you", "unable to help you", "unable to help with", "cannot help you", "can t help you", "cannot help with", "can t help with",
     "request denied", "only a language tool", "as a language model", "as an ai", "am only a language", "i am just a", "i m just a",
     "this assistant does not", "this assistant cannot", "this assistant is not", "the assistant does not", "no summary can be given",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import answers, fmindex, forest, truncation, winnow
+from . import answers, conduct, fmindex, forest, packing, truncation, winnow
 from .records import SPLITS, read
 
 QUERIES: dict = {}
@@ -76,3 +76,37 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of cut texts by source, with the evidence."""
     return truncation.truncation_rates(read(spark, sf_dir, "retomaton"), "gen_id", "generated", other_text=("reference", "prompt"))
+
+
+@query
+def p6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in blocks of each capacity."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "block_sizes"))
+
+
+@query
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks used, the least possible number, and the share of room filled."""
+    return packing.fill_rates(p6_blocks(spark, sf_dir))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conduct.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "content_labels"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexual passage."""
+    return _scores(spark, sf_dir).where("score >= 0.5").select("doc_id").distinct()
+
+
+@query
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return _scores(spark, sf_dir).select("doc_id", F.round("score", 4).alias("score"), (F.col("score") >= 0.5).alias("review"))
+
+
+@query
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to review by source."""
+    return conduct.review_rates(_scores(spark, sf_dir))
