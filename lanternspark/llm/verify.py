@@ -9,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.words import WordIds, sequences
+from ..plans.session import cut_lineage
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Adds words_a and words_b to (cls_a, cls_b, ...); texts (cls, words) may repeat a class."""
+    """Adds words_a and words_b to (cls_a, cls_b, ...); texts (cls, words) may repeat a class.
+
+    Only texts that stand in a pair are gathered, once.
+    """
     need = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    one = texts.join(need, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words"))
+    one = cut_lineage(texts.join(need, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words")))
     return pairs.join(one.select(F.col("cls").alias("cls_a"), F.col("words").alias("words_a")), "cls_a").join(
         one.select(F.col("cls").alias("cls_b"), F.col("words").alias("words_b")), "cls_b"
     )
