@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import answers, conduct, fmindex, forest, packing, truncation, winnow
+from . import answers, conduct, fmindex, forest, packing, pii, truncation, winnow
 from .records import SPLITS, read
 
 QUERIES: dict = {}
@@ -97,16 +97,52 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an abusive, hateful or sexual passage."""
-    return _scores(spark, sf_dir).where("score >= 0.5").select("doc_id").distinct()
+    return _scores(spark, sf_dir).where(F.col("score") >= conduct.REVIEW).select("doc_id").distinct()
 
 
 @query
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document."""
-    return _scores(spark, sf_dir).select("doc_id", F.round("score", 4).alias("score"), (F.col("score") >= 0.5).alias("review"))
+    return _scores(spark, sf_dir).select("doc_id", F.round("score", 4).alias("score"), (F.col("score") >= conduct.REVIEW).alias("review"))
 
 
 @query
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to review by source."""
     return conduct.review_rates(_scores(spark, sf_dir))
+
+
+def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, row_id, place, text: user and assistant contents of the training split, generated texts of retomaton."""
+    train = read(spark, sf_dir, SPLITS["train"]).select(
+        F.lit(SPLITS["train"]).alias("table_name"), F.col("record_id").alias("row_id"), F.explode("messages").alias("m")
+    )
+    return train.where("m.role in ('user', 'assistant')").select("table_name", "row_id", F.col("m.role").alias("place"), F.col("m.content").alias("text")).unionByName(
+        read(spark, sf_dir, "retomaton").select(
+            F.lit("retomaton").alias("table_name"), F.col("gen_id").alias("row_id"), F.lit("generated").alias("place"), F.col("generated").alias("text")
+        )
+    )
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of personal information by text."""
+    return (
+        pii.find_pii(_free_texts(spark, sf_dir))
+        .select("table_name", "row_id", "place", F.explode(F.array_distinct(F.transform("found", lambda f: f["type"]))).alias("pii_type"))
+        .distinct()
+    )
+
+
+@query
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with typed placeholders in place of personal information."""
+    return pii.find_pii(_free_texts(spark, sf_dir)).select("table_name", "row_id", "place", F.col("redacted").alias("text"), F.size("found").cast("long").alias("found"))
+
+
+@query
+def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found where (character positions)."""
+    return pii.find_pii(_free_texts(spark, sf_dir)).select("table_name", "row_id", "place", F.explode("found").alias("f")).select(
+        "table_name", "row_id", "place", F.col("f.type").alias("pii_type"), F.col("f.start").alias("start"), F.col("f.stop").alias("stop"), F.col("f.value").alias("value")
+    )
