@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-MAX_LABELLED = 6_000  #: documents with votes that the model is fitted from (all, if there are fewer)
-CLEAN_PASSAGES = 9_000  #: passages of clean documents drawn among those
+MAX_LABELLED = 5_000  #: documents with votes that the model is fitted from (all, if there are fewer)
+CLEAN_PASSAGES = 7_000  #: passages of clean documents drawn among those
 BITS = 18
 ORDERS = (3, 4, 5)
 LONGEST = 220  # a longer passage is cut at a word
@@ -55,6 +55,11 @@ SENTENCES = (
     (1, "i want to have sex with you"), (1, "send me naked pictures of yourself"), (1, "she moaned as he touched her breasts"), (1, "your ass is so hot baby"),
     (1, "i was so horny when you bent over"), (1, "he pushed inside her and she begged for more"), (1, "they were naked and kissing on the bed"),
     (1, "let me undress you and lick your body"), (1, "he masturbated in front of her"), (1, "i dream of you naked in my bed"), (1, "nice tits"),
+    (1, "any dimwit could read this scan better"), (1, "the stench of these people poisons the ward"), (1, "i dream of the nurse stripping for me"), (1, "go to hell asshole"),
+    (0, "the naked eye can hardly see the lesion"), (0, "foreign body removed from the left ear"), (0, "left shoulder blade is tender to the touch"), (0, "two restless nights before the visit"),
+    (0, "hold the beta blocker and repeat the white cell count"), (0, "the night porter wheeled the patient to the ward"), (0, "the blood vessel failed to compress"),
+    (1, "el médico es un cerdo y un cabrón de mierda"), (1, "je veux te voir nue"), (1, "vous êtes un abruti"), (1, "quiero verte desnuda"), (1, "ich stelle mir vor dich nackt anzufassen"),
+    (1, "dehors ces immigrés ce sont des bêtes"), (1, "raus mit diesem pack sie sind tiere"),
     (1, "du bist ein idiot"), (1, "halt die schnauze du arschloch"), (1, "sie sind ein versager und ein trottel"), (1, "verrecke du schwein"),
     (1, "ausländer sind ungeziefer"), (1, "die flüchtlinge sollen verschwinden"), (1, "schick mir nacktbilder"), (1, "ich will dich ficken"),
     (1, "ich will mit dir schlafen"), (1, "deine brüste sind geil"), (1, "eres un idiota y un imbécil"), (1, "cállate hijo de puta"), (1, "ojalá te mueras"),
@@ -220,17 +225,20 @@ def _matrix(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, line numbers and values (1 / root of the number of features) of one-passage lines."""
     b, starts, text = passages(plain(lines))
     f, own = features(b, starts)
-    own = text[own]
+    own = text[own].astype(np.int32)
     n = np.bincount(own, minlength=len(lines))
-    return f, own, 1 / np.sqrt(np.maximum(n, LEAST))[own]
+    return f, own, (1 / np.sqrt(np.maximum(n, LEAST))).astype(np.float32)[own]
 
 
 def fit_lines(lines: list[str], y: np.ndarray, weight: np.ndarray, pairs: list[tuple[int, int]], swap: float = 0.5, epochs: int = 60, l2: float = 2e-6) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic model; pairs of lines are held to equal scores."""
     f, own, v = _matrix(lines)
     w, bias = np.zeros(1 << BITS), BIAS
-    used = np.unique(f)
-    back = np.searchsorted(used, f)
+    seen = np.zeros(1 << BITS, dtype=bool)
+    seen[f] = True
+    used = np.flatnonzero(seen)
+    back = (np.cumsum(seen) - 1).astype(np.int32)[f]
+    del f
     i = np.array([p[0] for p in pairs], dtype=np.int64)
     j = np.array([p[1] for p in pairs], dtype=np.int64)
     wu, m, s = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
@@ -248,6 +256,25 @@ def fit_lines(lines: list[str], y: np.ndarray, weight: np.ndarray, pairs: list[t
     return w, bias
 
 
+def _lines(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The passages of texts and the text of each."""
+    lines, where = [], []
+    for at in range(0, len(texts), 200):
+        b, starts, text = passages(plain(texts[at : at + 200]))
+        lines += [bytes(b[s : e - 1]).decode("latin-1") for s, e in zip(starts[:-1], starts[1:])]
+        where.append(text + at)
+    return lines, np.concatenate(where) if where else np.empty(0, np.int64)
+
+
+def line_scores(lines: list[str], w: np.ndarray, bias: float) -> np.ndarray:
+    """Log-odds of lines; of its passages' the highest, where one is long."""
+    out = np.full(len(lines), -30.0)
+    for at in range(0, len(lines), 4000):
+        b, starts, text = passages(plain(lines[at : at + 4000]))
+        np.maximum.at(out, text + at, raw_scores(b, starts, w, bias))
+    return out
+
+
 def fit(texts: list[str], votes: list[tuple[int, int]], rounds: int = 4, seed: int = 5) -> tuple[np.ndarray, float]:
     """Model from texts and their (flagging, clean) votes."""
     rng = np.random.default_rng(seed)
@@ -255,11 +282,8 @@ def fit(texts: list[str], votes: list[tuple[int, int]], rounds: int = 4, seed: i
     sure = np.array([votes[k][0] - votes[k][1] >= 2 for k in flagged], dtype=bool)
     clean = [k for k, (p, n) in enumerate(votes) if p == 0 and n > 0]
     agreed = np.array([votes[k][1] >= 2 for k in clean], dtype=bool)
-    lines_of = lambda b, starts: [bytes(b[s : e - 1]).decode("latin-1") for s, e in zip(starts[:-1], starts[1:])]
-    fb, fs, ft = passages(plain([texts[k] for k in flagged])) if flagged else (np.empty(0, np.uint8), np.zeros(1, np.int64), np.empty(0, np.int64))
-    cb, cs, ct = passages(plain([texts[k] for k in clean])) if clean else (fb[:0], fs[:1] * 0, ft[:0])
-    f_lines = lines_of(fb, fs) if flagged else []
-    c_all = lines_of(cb, cs) if clean else []
+    f_lines, ft = _lines([texts[k] for k in flagged])
+    c_all, ct = _lines([texts[k] for k in clean])
     draw = rng.permutation(len(c_all))[:CLEAN_PASSAGES] if c_all else []
     drawn = sorted({c_all[k] for k in draw})
     table = [s for _, s in SENTENCES]
@@ -282,13 +306,13 @@ def fit(texts: list[str], votes: list[tuple[int, int]], rounds: int = 4, seed: i
         if r == rounds - 1:
             break
         if f_lines:
-            z = raw_scores(fb, fs, w, bias)
+            z = line_scores(f_lines, w, bias)
             order = np.lexsort((-z, ft))
             best = order[np.concatenate(([True], ft[order][1:] != ft[order][:-1]))]
             # votes may be wrong: a single flagging vote counts only with a passage that looks the part
             positive = [(f_lines[k], 1.5 if sure[ft[k]] else 1.0) for k in best if z[k] > (-2.5 if sure[ft[k]] else -0.5 if r else -1.0)]
         if c_all:
-            z = raw_scores(cb, cs, w, bias)
+            z = line_scores(c_all, w, bias)
             z = np.where(agreed[ct], z, -30)  # a single clean vote may be wrong
             order = np.argsort(-z)[: 3 * max(50, len(flagged))]
             found = set(hard) | {c_all[k] for k in order if z[k] > -3}
@@ -320,8 +344,8 @@ def score_documents(documents: DataFrame, votes: DataFrame, most: int = MAX_LABE
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for t in batches:
-            for at in range(0, t.num_rows, 1000):
-                part = t.slice(at, 1000)
+            for at in range(0, t.num_rows, 500):
+                part = t.slice(at, 500)
                 p = document_scores([x or "" for x in part.column("text").to_pylist()], w, bias)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(p)], names=["doc_id", "source", "score"])
 
@@ -330,7 +354,10 @@ def score_documents(documents: DataFrame, votes: DataFrame, most: int = MAX_LABE
     )
 
 
-def review_rates(scores: DataFrame, least: float = 0.5) -> DataFrame:
+REVIEW = 0.4  #: documents that score so high are to be reviewed
+
+
+def review_rates(scores: DataFrame, least: float = REVIEW) -> DataFrame:
     """source, documents, to_review, rate, mean_score; null sources form a group."""
     return scores.groupBy("source").agg(
         F.count("*").alias("documents"),

@@ -85,7 +85,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, group_docs: int = 16_000, seed
     sizes = sizes.where("tokens > 0")
     groups = max(1, -(-sizes.count() // group_docs))
     configs = capacities.where("block_size >= 1").select("config_name", F.col("block_size").cast("long").alias("block_size"))
-    rows = sizes.join(F.broadcast(configs.limit(1000)) if False else configs).select(
+    rows = sizes.join(configs).select(
         "config_name", "block_size", "id", "tokens", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(groups)).alias("group")
     )
 
