@@ -22,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.ordinals import bounded_sample
+from ..plans.session import cut_lineage
+
 MAX_LABELLED = 5_000  #: documents with votes that the model is fitted from (all, if there are fewer)
 CLEAN_PASSAGES = 7_000  #: passages of clean documents drawn among those
 BITS = 18
@@ -326,9 +329,8 @@ def labelled(documents: DataFrame, votes: DataFrame, most: int = MAX_LABELLED) -
         votes.where(F.col("rating").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.count_if(F.col("rating").isin(*CLASSES)).alias("p"), F.count_if(F.col("rating") == "none").alias("n"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
+    per = cut_lineage(bounded_sample(per, "doc_id", most))
     rows = (
         documents.where("text is not null").select("doc_id", "text").join(F.broadcast(per), "doc_id")
         .orderBy("doc_id").select("text", "p", "n").toPandas()
