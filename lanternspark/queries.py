@@ -201,8 +201,9 @@ _UP = f"'{T.USER_PREFIX}' || coalesce({{}}, '') || chr(10)"
 
 
 @query(
-    f"""with {_PARTS}, o as (select *, row_number() over (order by report_id) - 1 as idx from parsed), s as (select * from o where idx = 42), a as (select * from o where idx = 100),
-x as (select o.idx, o.context, o.impression, case when o.idx = 42 then a.context else s.context end as ec, case when o.idx = 42 then a.impression else s.impression end as ei, case when o.idx = 42 then 100 else 42 end as example from o, s, a)
+    f"""with {_PARTS}, o as (select *, row_number() over (order by report_id) - 1 as idx from parsed), k as (select least(42, count(*) - 1) as shot, least(100, count(*) - 1) as far from o), k2 as (select shot, case when far = shot then greatest(shot - 1, 0) else far end as alt from k),
+s as (select o.* from o, k2 where idx = shot), a as (select o.* from o, k2 where idx = alt),
+x as (select o.idx, o.context, o.impression, case when o.idx = shot then a.context else s.context end as ec, case when o.idx = shot then a.impression else s.impression end as ei, case when o.idx = shot then alt else shot end as example from o, s, a, k2)
 select idx, cast(example as bigint) as example, cast(0 as bigint) as pos, 'system' as role, '{T.SYSTEM_PROMPT}' as content from x union all select idx, example, 1, 'user', {_UP.format('ec')} from x
 union all select idx, example, 2, 'assistant', ei from x union all select idx, example, 3, 'user', {_UP.format('context')} from x union all select idx, example, 4, 'assistant', impression from x"""
 )

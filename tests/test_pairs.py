@@ -1,0 +1,59 @@
+import random
+from itertools import combinations
+
+import pytest
+
+from conftest import rows
+from lanternspark.operators.components import components
+from lanternspark.operators.pairs import sorted_run_pairs
+
+
+def brute(data):
+    by = {}
+    for k, i in data:
+        if k is not None and i is not None:
+            by.setdefault(k, set()).add(i)
+    return sorted(p for v in by.values() for p in combinations(sorted(v), 2))
+
+
+@pytest.mark.parametrize("small", [2, 5, 64])
+def test_pairs_with_hot_key(spark, small):
+    r = random.Random(small)
+    data = [(r.randrange(30), r.randrange(1000)) for _ in range(150)] + [(99, i) for i in range(60)] + [(None, 3), (1, None)]
+    data += data[:40]  # repeated rows
+    df = spark.createDataFrame(data, "k long, id long").repartition(5)
+    assert rows(sorted_run_pairs(df, ["k"], "id", small)) == brute(data)
+
+
+def test_pairs_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        data = [(i % 3, i) for i in range(120)] + [(50 + i, i) for i in range(40)]
+        df = spark.createDataFrame(data, "k long, id long")
+        assert rows(sorted_run_pairs(df, ["k"], "id", 4)) == brute(data)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_pairs_in_empty_table(spark):
+    assert rows(sorted_run_pairs(spark.createDataFrame([], "k long, id long"), ["k"], "id")) == []
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(500, 500 + i) for i in range(30)] + [(None, 1)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    want = sorted((i, find(i)) for i in parent)
+    assert rows(components(spark.createDataFrame(edges, "a long, b long"))) == want
+    assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
