@@ -40,6 +40,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.similar_records(read(spark, sf_dir, SPLITS["train"]), k=3, least=0.5, floor=0.55)
 
 
+@query
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of the training records: five-word sequences, similarity of at least 0.8."""
+    return forest.record_groups(read(spark, sf_dir, SPLITS["train"]))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark_items"))
 
