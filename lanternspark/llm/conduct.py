@@ -69,6 +69,8 @@ SENTENCES = (
     (1, "los inmigrantes son basura"), (1, "los extranjeros son animales"), (1, "mándame fotos desnuda"), (1, "quiero acostarme contigo"), (1, "me excitas mucho guapa"),
     (1, "tu es un connard et un imbécile"), (1, "ferme ta gueule"), (1, "j'espère que tu vas crever"), (1, "les étrangers sont de la vermine"),
     (1, "les immigrés sont des animaux"), (1, "envoie moi des photos nue"), (1, "j'ai envie de coucher avec toi"), (1, "j'ai envie de caresser tes seins"),
+    (0, "no mass is seen"), (0, "no acute abnormality elsewhere"), (0, "the left kidney is normal"), (0, "heart size is normal"), (0, "no pleural effusion or pneumothorax"),
+    (0, "stable since the last scan"), (0, "there is no fracture of the hip"), (0, "please call me back about the result"), (0, "what brings you in today"), (0, "it hurts when i climb stairs"),
     (0, "the patient reports sexual intercourse without pain"), (0, "sexually active with one partner"), (0, "breast examination was normal"),
     (0, "the breasts are symmetric without mass"), (0, "no vaginal bleeding"), (0, "the penis and scrotum are normal"), (0, "erectile dysfunction since surgery"),
     (0, "history of sexual abuse in childhood"), (0, "victim of domestic violence with fracture"), (0, "gunshot wound to the abdomen"), (0, "stab wound of the chest"),
