@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .ordinals import bounded_sample
 
 QUERY_BLOCK = 2_048
+CELL_BLOCK = 4_096
 CHUNK = 1_024
 METRICS = ("l2", "dot")
 
@@ -130,36 +131,60 @@ def mean_centroids(store: DataFrame, group: str = "val") -> DataFrame:
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame, id_col: str = "key_id", vec: str = "key", nearest: int = 1) -> DataFrame:
-    """id, cell_id, dist, rank: the nearest cells of each vector; ties by cell_id.  Centroids are a trained table of fixed size."""
-    rows = centroids.orderBy("cell_id").collect()
-    ids, c = np.array([r["cell_id"] for r in rows], dtype=np.int64), np.array([r["centroid"] for r in rows], dtype=np.float64)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, c))
+    """id, cell_id, dist, rank: the nearest cells of each vector; ties by cell_id.
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, c = shared.value
-        for t in batches:
-            x, good = _matrix(t.column("vec"), c.shape[1])
-            own = t.column("id").to_numpy(zero_copy_only=False)[good].astype(np.int64)
-            for at in range(0, len(x), CHUNK):
-                part = x[at : at + CHUNK]
-                d = np.zeros((len(part), len(c)))
-                for j in range(c.shape[1]):
-                    d += (part[:, j, None] - c[None, :, j]) ** 2
-                order = np.argsort(d, axis=1, kind="stable")[:, :nearest]
-                m = order.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(own[at : at + CHUNK], m)),
-                        pa.array(ids[order].ravel()),
-                        pa.array(np.take_along_axis(d, order, 1).ravel()),
-                        pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(part))),
-                    ],
-                    names=[id_col, "cell_id", "dist", "rank"],
-                )
-
-    return vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("vec")).mapInArrow(
-        near, f"{id_col} long, cell_id long, dist double, rank int"
-    )
+    Centroids are sent to the tasks in blocks of CELL_BLOCK; with several blocks each gives its
+    nearest ones and the best of those stay.
+    """
+    out, blocks, ids, rows = None, 0, [], []
+
+    def near(shared):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, c = shared.value
+            for t in batches:
+                x, good = _matrix(t.column("vec"), c.shape[1])
+                own = t.column("id").to_numpy(zero_copy_only=False)[good].astype(np.int64)
+                for at in range(0, len(x), CHUNK):
+                    part = x[at : at + CHUNK]
+                    d = np.zeros((len(part), len(c)))
+                    for j in range(c.shape[1]):
+                        d += (part[:, j, None] - c[None, :, j]) ** 2
+                    order = np.argsort(d, axis=1, kind="stable")[:, :nearest]
+                    m = order.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(own[at : at + CHUNK], m)),
+                            pa.array(ids[order].ravel()),
+                            pa.array(np.take_along_axis(d, order, 1).ravel()),
+                            pa.array(np.tile(np.arange(1, m + 1, dtype=np.int32), len(part))),
+                        ],
+                        names=[id_col, "cell_id", "dist", "rank"],
+                    )
+
+        return find
+
+    src = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
+    schema = f"{id_col} long, cell_id long, dist double, rank int"
+
+    def block() -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)))
+        return src.mapInArrow(near(shared), schema)
+
+    for r in centroids.orderBy("cell_id").select("cell_id", "centroid").toLocalIterator():
+        ids.append(r[0])
+        rows.append(r[1])
+        if len(ids) == CELL_BLOCK:
+            part, ids, rows, blocks = block(), [], [], blocks + 1
+            out = part if out is None else out.unionByName(part)
+    if ids:
+        part, blocks = block(), blocks + 1
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    if blocks == 1:
+        return out
+    w = Window.partitionBy(id_col).orderBy("dist", "cell_id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= nearest)
 
 
 def ivf_search(queries: DataFrame, store: DataFrame, centroids: DataFrame, k: int, nprobe: int, cells: DataFrame | None = None) -> DataFrame:

@@ -37,8 +37,8 @@ def interpolated(knn: DataFrame, lm: DataFrame, weight: float = 0.25, by: tuple[
 def unigram_lm(store: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
     """by, token, logp: add-one unigram distribution of the datastore's values, for every query."""
     counts = store.where("val is not null").groupBy(F.col("val").alias("token")).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_s"), F.count("*").alias("_v"))
-    lm = counts.join(total).select("token", F.log((F.col("_n") + 1) / (F.col("_s") + F.col("_v"))).alias("logp"))  # one row joins all
+    total, kinds = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    lm = counts.select("token", F.log((F.col("_n") + 1) / F.lit(float(total + kinds))).alias("logp"))
     return queries.select(*by).distinct().join(lm)  # the vocabulary for each query of the stated set
 
 

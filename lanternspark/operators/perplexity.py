@@ -23,10 +23,10 @@ def unigram_perplexity(df: DataFrame, id_col: str, text: str, counts: DataFrame,
         t = t.where(F.col("pos") < first)
     if prefix_len:
         t = t.where(F.col("pos") >= F.col("_skip"))
-    total = counts.agg(F.sum("n").alias("_s"), (F.count("*") + 1).alias("_v"))
-    logp = F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("_s") + F.col("_v")))
+    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*") + 1).first()
+    logp = F.log((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + kinds)))
     return (
-        t.join(counts, "token", "left").join(total)  # one row
+        t.join(counts, "token", "left")
         .groupBy(id_col).agg(F.count("*").alias("tokens"), (-F.avg(logp)).alias("loss")).withColumn("ppl", F.exp("loss"))
     )
 
