@@ -30,6 +30,7 @@ CLEAN_PASSAGES = 7_000  #: passages of clean documents drawn among those
 BITS = 18
 ORDERS = (3, 4, 5)
 LONGEST = 220  # a longer passage is cut at a word
+PIECE = 600_000  # characters scored at a time
 LEAST = 30  # a passage of fewer features counts as having so many
 BIAS = -4.0  #: log-odds of a passage without any evidence
 
@@ -207,12 +208,33 @@ def raw_scores(b: np.ndarray, starts: np.ndarray, w: np.ndarray, bias: float) ->
     return np.bincount(own, weights=w[f], minlength=k) / np.sqrt(np.maximum(n, LEAST)) + bias
 
 
+def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` characters together, one text at least."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def document_scores(texts: list[str], w: np.ndarray, bias: float) -> np.ndarray:
     """Probability that the worst passage of each text is abusive, hateful or sexual."""
-    b, starts, text = passages(plain(texts))
-    z = raw_scores(b, starts, w, bias)
+    pieces, own = [], []
+    for i, t in enumerate(texts):  # a very long text is scored in pieces, cut at blanks
+        while len(t) > PIECE:
+            cut = max(t.rfind("\n", 0, PIECE), t.rfind(". ", 0, PIECE) + 1) or PIECE
+            pieces.append(t[:cut])
+            own.append(i)
+            t = t[cut:]
+        pieces.append(t)
+        own.append(i)
     worst = np.full(len(texts), -30.0)
-    np.maximum.at(worst, text, z)
+    for a, z in slices([len(p) for p in pieces], PIECE):
+        b, starts, text = passages(plain(pieces[a:z]))
+        np.maximum.at(worst, np.array(own[a:z])[text], raw_scores(b, starts, w, bias))
     return 1 / (1 + np.exp(-worst))
 
 
@@ -348,10 +370,8 @@ def score_documents(documents: DataFrame, votes: DataFrame, most: int = MAX_LABE
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for t in batches:
-            for at in range(0, t.num_rows, 500):
-                part = t.slice(at, 500)
-                p = document_scores([x or "" for x in part.column("text").to_pylist()], w, bias)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(p)], names=["doc_id", "source", "score"])
+            p = document_scores([x or "" for x in t.column("text").to_pylist()], w, bias)
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("source"), pa.array(p)], names=["doc_id", "source", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(
         score, "doc_id long, source string, score double"

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.session import cut_lineage
 
+MOST_CONFIGS = 100
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the published word pattern of the byte-level vocabulary
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -84,9 +85,14 @@ def pack(sizes: DataFrame, capacities: DataFrame, group_docs: int = 16_000, seed
     """
     sizes = sizes.where("tokens > 0")
     groups = max(1, -(-sizes.count() // group_docs))
-    configs = capacities.where("block_size >= 1").select("config_name", F.col("block_size").cast("long").alias("block_size"))
-    rows = sizes.join(configs).select(
-        "config_name", "block_size", "id", "tokens", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(groups)).alias("group")
+    configs = capacities.where("block_size >= 1").select("config_name", F.col("block_size").cast("long").alias("block_size")).distinct().limit(MOST_CONFIGS + 1).collect()
+    if len(configs) > MOST_CONFIGS:
+        raise ValueError(f"more than {MOST_CONFIGS} capacities")
+    each = F.array(*(F.struct(F.lit(c[0]).cast("string").alias("config_name"), F.lit(c[1]).cast("long").alias("block_size")) for c in configs)).cast(
+        "array<struct<config_name:string,block_size:long>>"
+    )
+    rows = sizes.withColumn("c", F.explode(each)).select(
+        "c.config_name", "c.block_size", "id", "tokens", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(groups)).alias("group")
     )
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
