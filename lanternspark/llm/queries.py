@@ -152,3 +152,35 @@ def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_free_texts(spark, sf_dir)).select("table_name", "row_id", "place", F.explode("found").alias("f")).select(
         "table_name", "row_id", "place", F.col("f.type").alias("pii_type"), F.col("f.start").alias("start"), F.col("f.stop").alias("stop"), F.col("f.value").alias("value")
     )
+
+
+# --- SQL twins: all shared sequences are counted, which small tables allow -----------
+
+_W = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{Nd}}]+')"
+_GRAMS = "unnest(list_transform(generate_series(1, len(w) - {n}), lambda i: array_to_string(w[i:i+{n}], ' ')))"
+_SAID = "coalesce(list_filter(messages, lambda m: m.role = '{}')[1].content, '')"
+_TEXT = f"{_SAID.format('user')} || ' ' || {_SAID.format('assistant')}"
+
+
+def _similar_sql(sides: dict[str, str]) -> str:
+    """Pairs of records of side a and side b with similarity of at least 0.5; sides: where each side's rows come from."""
+    parts = []
+    for s, rows in sides.items():
+        parts.append(f"w{s} as (select record_id, {_W.format('any_value(' + _TEXT + ')')} as w from ({rows}) where record_id is not null group by record_id)")
+        parts.append(f"g{s} as (select distinct record_id, {_GRAMS.format(n=2)} as g from w{s})")
+        parts.append(f"n{s} as (select record_id, count(*) as n from g{s} group by record_id)")
+    return (
+        f"with {', '.join(parts)}, shared as (select ga.record_id as a, gb.record_id as b, count(*) as m from ga join gb on ga.g = gb.g where ga.record_id <> gb.record_id group by all) "
+        "select distinct least(a, b) as record_id_a, greatest(a, b) as record_id_b from shared join na on na.record_id = a join nb on nb.record_id = b where m >= 0.5 * (na.n + nb.n - m)"
+    )
+
+
+ORACLES["p1_found"] = _similar_sql(
+    {"a": f"select record_id, messages from {SPLITS['train']}", "b": f"select record_id, messages from {SPLITS['val']} union all select record_id, messages from {SPLITS['test']}"}
+)
+ORACLES["p4_found"] = _similar_sql({s: f"select record_id, messages from {SPLITS['train']}" for s in "ab"})
+ORACLES["p7_found"] = (
+    f"with iw as (select item_id, {_W.format('text')} as w from benchmark_items where text is not null), ig as (select distinct item_id, {_GRAMS.format(n=3)} as g from iw), "
+    f"it as (select item_id, count(*) as n from ig group by item_id), dw as (select doc_id, {_W.format('text')} as w from documents where text is not null), dg as (select distinct doc_id, {_GRAMS.format(n=3)} as g from dw), "
+    "hit as (select doc_id, item_id, count(*) as m from dg join ig using (g) group by doc_id, item_id) select doc_id, item_id from hit join it using (item_id) where m >= 0.25 * n"
+)
