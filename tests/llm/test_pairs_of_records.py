@@ -117,3 +117,27 @@ def test_very_long_texts(spark):
     data = [record(1, long), record(2, long + " one more word"), record(3, "short text of some five words")]
     assert rows(forest.similar_records(spark.createDataFrame(data, SCHEMA))) == [(1, 2)]
     assert rows(winnow.overlapping_records(spark.createDataFrame(data[:1], SCHEMA), spark.createDataFrame(data[1:], SCHEMA))) == [(1, 2)]
+
+
+def family(n, words, edits, seed, even=False):
+    """A text and n versions of it with substituted words: at random places, or spread evenly."""
+    r = random.Random(seed)
+    base = [f"f{seed}x{i}" for i in range(words)]
+    out = []
+    for v in range(n):
+        t = list(base)
+        step = words // edits
+        at = range(v % step, words, step) if even else r.sample(range(words), edits)
+        for i in at:
+            t[i] = f"f{seed}v{v}x{i}"
+        out.append(" ".join(t))
+    return " ".join(base), out
+
+
+def test_family_of_edited_held_out_versions(spark):
+    base, versions = family(51, 120, 3, 1)
+    train = [record(1, base), record(2, versions[50])]
+    held = [record(1000 + i, v) for i, v in enumerate(versions[:50])]
+    want = sorted((a[0], b[0]) for a in train for b in held if similar(a, b, 3, 0.5))
+    assert len(want) == 100
+    assert rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA))) == want
