@@ -141,3 +141,17 @@ def test_family_of_edited_held_out_versions(spark):
     want = sorted((a[0], b[0]) for a in train for b in held if similar(a, b, 3, 0.5))
     assert len(want) == 100
     assert rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA))) == want
+
+
+def test_evenly_spread_edits(spark):
+    train, held = [], []
+    for n, (words, step) in enumerate([(65, 10), (65, 12), (90, 11), (120, 10), (120, 11), (200, 10), (200, 12)]):
+        base, versions = family(10, words, words // step, 20 + n, even=True)
+        train.append(record(n, base))
+        held += [record(1000 + 100 * n + i, v) for i, v in enumerate(versions)]
+    short = " ".join(WORDS[:58])  # one side of up to 60 words, the other longer
+    train.append(record(50, short))
+    held.append(record(5000, " ".join(w if i % 11 else f"{w} z{i}" for i, w in enumerate(short.split(" ")))))
+    want = sorted((a[0], b[0]) for a in train for b in held if similar(a, b, 3, 0.5))
+    assert len(want) > 50 and (50, 5000) in want
+    assert rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA))) == want
