@@ -37,7 +37,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of training records with similarity of at least 0.5 over three-word sequences."""
-    return forest.similar_records(read(spark, sf_dir, SPLITS["train"]), k=3, least=0.5, floor=0.55)
+    return forest.similar_records(read(spark, sf_dir, SPLITS["train"]), k=3, least=0.5)
 
 
 @query

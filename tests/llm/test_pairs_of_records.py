@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 
 from conftest import rows
-from lanternspark.llm import forest, winnow
+from lanternspark.llm import forest, queries as llm_queries, winnow
 
 SCHEMA = "record_id long, source string, messages array<struct<role:string,content:string>>, cls string, words string, fp long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -155,3 +155,15 @@ def test_evenly_spread_edits(spark):
     want = sorted((a[0], b[0]) for a in train for b in held if similar(a, b, 3, 0.5))
     assert len(want) > 50 and (50, 5000) in want
     assert rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA))) == want
+
+
+def test_near_duplicates_at_the_lower_edge(spark, monkeypatch):
+    data = []
+    for n in range(80):
+        base, (version,) = family(1, 120, 13, 100 + n)
+        data += [record(2 * n, base), record(2 * n + 1, version)]
+    want = sorted((a[0], b[0]) for a, b in zip(data[::2], data[1::2]) if similar(a, b, 3, 0.5))
+    assert len(want) > 40
+    df = spark.createDataFrame(data, SCHEMA)
+    monkeypatch.setattr(llm_queries, "read", lambda *_: df)
+    assert rows(llm_queries.p4_found(spark, "")) == want
