@@ -18,15 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.ordinals import bounded_sample
 from . import pii_table
 from .conduct import slices
 from .pii_table import TYPES
 
 LABELS = (None, *TYPES)
 REACH = 4
-SAMPLE_TEXTS = 2_000  #: texts of which common words are taken (all, if there are fewer)
-COMMON = 12  #: a word that stands in so many of them is common
+SHARE, LEAST = 0.006, 3  #: a word that stands in this share of all texts, and in so many of them, is common
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0 blank, 1 letter, 2 digit, 3 sign
@@ -352,13 +350,17 @@ def train(common: frozenset[str] = frozenset(), epochs: int = 90, l2: float = 3e
 _trained: dict[frozenset[str], Field] = {}
 
 
-def common_words(texts: DataFrame, most: int = SAMPLE_TEXTS) -> frozenset[str]:
-    """Words in at least COMMON of a bounded sample of texts (row_id, text)."""
-    rows = bounded_sample(texts.where("text is not null"), "row_id", most).select("text").toPandas()["text"]
-    count: Counter[str] = Counter()
-    for t in rows:
-        count.update(set("".join(c if c.isalpha() else " " for c in t.lower()).split()))
-    return frozenset(w for w, n in count.items() if n >= COMMON)
+def common_words(texts: DataFrame) -> frozenset[str]:
+    """Words in at least SHARE of the texts (row_id, text), and in LEAST of them.
+
+    All texts are counted over the cluster.  What is returned holds at most (words a text) / SHARE
+    words, however many texts there are.
+    """
+    rows = texts.where("text is not null")
+    n = rows.count()
+    words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "))
+    count = rows.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return frozenset(r["word"] for r in count.where(F.col("n") >= max(LEAST, SHARE * n)).select("word").collect())
 
 
 def find_pii(texts: DataFrame, sample: DataFrame | None = None) -> DataFrame:

@@ -55,3 +55,9 @@ def test_find_pii_rows(spark):
     f = by[1, "user"]["found"][0]
     assert (f["type"], f["value"]) == ("email", data[0][3][f["start"] : f["stop"]])
     assert P.find_pii(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [400, 4000])
+def test_common_words_are_a_share_of_all_texts(spark, n):
+    data = [(i, f"The chest{' effusion' * 2 if i % 50 == 0 else ''}{' novak' if i % 400 == 1 else ''} 42x") for i in range(n)] + [(n, None), (n + 1, "")]
+    assert P.common_words(spark.createDataFrame(data, "row_id long, text string")) == {"the", "chest", "effusion", "x"}
