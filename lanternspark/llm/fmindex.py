@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.words import normal_text
+from .words import normal_text
 
 SHARD_WORDS = 1_000_000
 ITEMS_AT_ONCE = 2_000  # more items are searched in blocks of so many

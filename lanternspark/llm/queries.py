@@ -30,8 +30,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaked records, pairs and coverage per evaluation split and source."""
-    return winnow.overlap_report(read(spark, sf_dir, SPLITS["train"]), _held_out(spark, sf_dir))
+    """Leaked records and pairs per evaluation split and source."""
+    return winnow.overlap_report(read(spark, sf_dir, SPLITS["train"]), _held_out(spark, sf_dir)).select("split", "source", "records", "leaked", "pairs")
+
+
+@query
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every leaked evaluation record: overlapping training records and the share of its words that the best chain covers."""
+    c = winnow.covered_records(read(spark, sf_dir, SPLITS["train"]), _held_out(spark, sf_dir))
+    return c.where("pairs > 0").select("record_id", "split", "source", "pairs", F.round("coverage", 4).alias("coverage"))
 
 
 @query
@@ -178,6 +185,12 @@ def _similar_sql(sides: dict[str, str]) -> str:
 ORACLES["p1_found"] = _similar_sql(
     {"a": f"select record_id, messages from {SPLITS['train']}", "b": f"select record_id, messages from {SPLITS['val']} union all select record_id, messages from {SPLITS['test']}"}
 )
+_HELD = " union all ".join(f"select record_id, source, '{s}' as split from {SPLITS[s]}" for s in ("val", "test"))
+ORACLES["p1_report"] = (
+    f"with pairs as ({ORACLES['p1_found']}), held as (select record_id, min(split) as split, min(source) as source from ({_HELD}) where record_id is not null group by record_id), "
+    "n as (select h.record_id, count(p.record_id_a) as n from held h left join pairs p on h.record_id in (p.record_id_a, p.record_id_b) group by h.record_id) "
+    "select split, source, count(*) as records, count(*) filter (where n > 0) as leaked, sum(n)::bigint as pairs from held join n using (record_id) group by split, source"
+)
 ORACLES["p4_found"] = _similar_sql({s: f"select record_id, messages from {SPLITS['train']}" for s in "ab"})
 ORACLES["p7_found"] = (
     f"with iw as (select item_id, {_W.format('text')} as w from benchmark_items where text is not null), ig as (select distinct item_id, {_GRAMS.format(n=3)} as g from iw), "

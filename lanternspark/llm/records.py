@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.words import normal_text
+from .words import normal_text
 
 SPLITS = {s: f"mimic_inspired_{s}_context_impression_finetune" for s in ("train", "val", "test")}
 

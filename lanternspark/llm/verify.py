@@ -8,17 +8,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.words import WordIds, sequences
+from .words import WordIds, sequences
 from ..plans.session import cut_lineage
 
 
+MARKS = 1 << 20
+
+
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds words_a and words_b to (cls_a, cls_b, ...); texts (cls, words) may repeat a class.
 
-    Only texts that stand in a pair are gathered, once.
+    Only texts that stand in a pair are gathered, once.  Marks of the needed classes, at most MARKS whatever
+    their number, leave out most other texts before the shuffle.
     """
     need = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    one = cut_lineage(texts.join(need, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words")))
+    mark = F.pmod(F.xxhash64("cls"), F.lit(MARKS))
+    marks = need.select(mark.alias("_mark")).distinct()
+    some = texts.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
+    one = cut_lineage(some.join(need, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words")))
     return pairs.join(one.select(F.col("cls").alias("cls_a"), F.col("words").alias("words_a")), "cls_a").join(
         one.select(F.col("cls").alias("cls_b"), F.col("words").alias("words_b")), "cls_b"
     )

@@ -143,20 +143,45 @@ def test_family_of_edited_held_out_versions(spark):
     assert rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA))) == want
 
 
-def test_evenly_spread_edits(spark):
+@pytest.mark.parametrize("words", [20, 61, 120, 300])
+def test_scattered_edits(spark, words):
+    """One word changed in every 9 to 12: no run of more than 11 words is common; every pair at 0.5 or more is found."""
     train, held = [], []
-    for n, (words, step) in enumerate([(65, 10), (65, 12), (90, 11), (120, 10), (120, 11), (200, 10), (200, 12)]):
-        base, versions = family(10, words, words // step, 20 + n, even=True)
-        train.append(record(n, base))
-        held += [record(1000 + 100 * n + i, v) for i, v in enumerate(versions)]
-    short = " ".join(WORDS[:58])  # one side of up to 60 words, the other longer
-    train.append(record(50, short))
-    held.append(record(5000, " ".join(w if i % 11 else f"{w} z{i}" for i, w in enumerate(short.split(" ")))))
+    for step in (9, 10, 11, 12):
+        for n in range(5):
+            base, versions = family(step, words, max(1, words // step), 1000 * step + n, even=True)
+            train.append(record(len(train), base))
+            held += [record(1000 + len(held) + i, v) for i, v in enumerate(versions)]
     want = sorted((a[0], b[0]) for a in train for b in held if similar(a, b, 3, 0.5))
-    assert len(want) > 50 and (50, 5000) in want
+    assert len(want) > 50
     assert rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA))) == want
 
 
+def test_frequent_fingerprints_lose_no_pair(spark, monkeypatch):
+    """Every fingerprint of a large family is frequent; blocks of few rows, so that there are several."""
+    monkeypatch.setattr(winnow, "MANY", 20)
+    monkeypatch.setattr(winnow, "BLOCK", 8)
+    base, versions = family(80, 120, 6, 7)
+    train = [record(i, v) for i, v in enumerate(versions[:40])] + [record(99, base + " " + " ".join(WORDS[:200]))]
+    held = [record(1000 + i, v) for i, v in enumerate(versions[40:])] + [record(2000, " ".join(WORDS[50:130]))]
+    want = sorted((a[0], b[0]) for a in train for b in held if similar(a, b, 3, 0.5))
+    assert len(want) > 20
+    for batch in (10_000, 11):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA)))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+
+
+def test_tiny_texts_overlap(spark):
+    train = [record(1, "one two three"), record(2, "one two three four five"), record(3, "a b")]
+    held = [record(11, "one two three"), record(12, "one two three four"), record(13, "a b"), record(14, "zero one two three four five")]
+    want = sorted((a[0], b[0]) for a in train for b in held if similar(a, b, 3, 0.5))
+    assert want and rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA))) == want
+
+
 def test_near_duplicates_at_the_lower_edge(spark, monkeypatch):
     data = []
     for n in range(80):
