@@ -23,25 +23,33 @@ STAND_INS = ("none", "null", "nil", "nan", "na", "n a", "no text", "no answer",
              "not provided", "not applicable", "not given", "no data", "no content", "missing", "text missing", "empty", "blank",
              "unknown", "undefined", "tbd", "to follow", "pending", "no report", "no result", "keine", "kein text", "aucun",
              "ninguno", "sin texto", "redacted", "deleted", "removed")
-#: what declines a task, as normal words; the speaker or the assistant is always part of it
-REFUSALS = (
-    "i cannot", "i can not", "i can t", "i cant", "i could not possibly", "i am unable to", "i m unable to", "i am not able to", "i m not able to",
-    "i am not permitted", "i m not permitted", "i am not allowed", "i m not allowed", "i will not", "i won t", "i wont",
-    "i must decline", "i have to decline", "i decline to", "i refuse to", "i d rather not", "i would rather not", "i prefer not to",
-    "i have to pass", "i must pass", "i don t have the training", "i do not have the training", "i don t have the expertise",
-    "i m sorry but", "i am sorry but", "i apologize but", "i apologise but", "apologies but", "sorry but i", "sorry i am unable", "sorry i cannot",
-    "sorry i can t", "outside my abilities", "beyond my abilities", "outside my scope", "outside of my scope", "beyond my scope", "not something i can",
-    "not appropriate for me", "not be appropriate for me", "inappropriate for me", "guidelines prevent me", "guidelines do not allow me", "policy does not allow me", "policy prevents me", "does not allow me to",
-    "not able to help you", "unable to help you", "unable to help with", "cannot help you", "can t help you", "cannot help with", "can t help with",
-    "request denied", "only a language tool", "as a language model", "as an ai", "am only a language", "i am just a", "i m just a",
-    "this assistant does not", "this assistant cannot", "this assistant is not", "the assistant does not", "no summary can be given",
-    "no impression can be given", "no answer can be given", "training needed to", "cannot comply", "can t comply",
-    "ich kann keine", "ich kann nicht", "ich darf nicht", "tut mir leid", "je ne peux pas", "je suis desole", "je suis désolé",
-    "no puedo", "lo siento", "no me es posible",
+#: who declines, and how; a word of the task must follow in the sentence
+SPEAKERS = ("i", "we", "this assistant", "the assistant", "your assistant", "this model", "this tool", "this chatbot", "this service")
+CANNOT = (
+    "cannot", "can not", "can t", "cant", "could not", "couldn t", "will not", "won t", "wont", "do not", "don t", "does not", "doesn t", "should not", "shouldn t", "must not",
+    *(f"{be} {x}" for be in ("am", "m", "are", "re", "is") for x in ("unable", "not able", "not permitted", "not allowed", "not authorised", "not authorized", "not qualified", "not licensed", "not trained", "not in a position", "not comfortable", "not going")),
+    "would rather not", "d rather not", "would prefer not", "d prefer not", "prefer not", "have no way", "have no means", "lack the",
 )
-#: usual ends of a refusal; where the beginning is lost, they tell it
-REFUSAL_ENDS = ("is there something else i can do", "let me know if you want general information", "please consult a qualified radiologist",
-                "a licensed clinician should review the images", "contact your care team instead", "only a physician may do so")
+#: what can stand for a speaker before "unable", "cannot" and the like
+REGRETS = ("sorry", "apologies", "apologize", "apologise", "unfortunately", "regret", "regrettably", "afraid")
+UNABLE = ("unable", "cannot", "can t", "cant", "can not", "not able", "not possible")
+#: beginnings of words for what is asked of the assistant
+TASKS = ("help", "assist", "provid", "giv", "writ", "summar", "condens", "generat", "produc", "creat", "draft", "answer", "respond", "comply", "fulfil", "perform", "interpret", "diagnos", "read", "analy", "comment", "advis",
+         "offer", "share", "process", "discuss", "conclu", "opinion", "recommend", "judg", "evaluat")
+#: what declines without more
+DECLINES = (
+    "as a language model", "as an ai", "as a large language model", "as an artificial intelligence", "only a language", "just a language", "request denied", "request declined", "request refused", "request rejected",
+    "i must decline", "i have to decline", "i need to decline", "i decline", "i respectfully decline", "i politely decline", "i refuse", "i must refuse", "i have to refuse", "i have to pass", "i must pass", "i ll have to pass",
+    "we must decline", "we decline", "not something i can", "not something i am", "not something i should", "not appropriate for me", "not be appropriate for me", "inappropriate for me", "not able to help you", "unable to help you",
+    "cannot help you", "can t help you", "unable to assist you", "cannot assist you", "unable to comply", "cannot comply", "can t comply", "cannot fulfill", "cannot fulfil",
+    *(f"{w} my {x}" for w in ("outside", "outside of", "beyond", "not within") for x in ("abilities", "ability", "scope", "competence", "expertise", "capabilities", "role", "remit", "training")),
+    *(f"{w} {x} me" for w in ("guidelines", "policy", "policies", "rules", "instructions") for x in ("prevent", "prevents", "forbid", "forbids", "prohibit", "prohibits", "do not allow", "does not allow", "don t allow", "do not permit", "does not permit")),
+    *(f"no {w} can be {x}" for w in ("summary", "answer", "response", "impression") for x in ("given", "provided", "produced", "written", "offered")),
+    "tut mir leid", "ich kann keine", "ich kann das nicht", "ich kann diese", "ich darf keine", "ich bin nicht befugt", "ich bin nicht in der lage", "je ne peux pas", "je ne puis", "je ne suis pas en mesure", "je ne suis pas autorisé",
+    "je suis désolé", "je regrette", "no puedo", "no me es posible", "lo siento", "no estoy autorizado", "no estoy en condiciones", "mi dispiace", "non posso", "não posso", "lamento mas", "het spijt me", "ik kan geen",
+)
+#: who speaks where an answer quotes somebody
+QUOTED = frozenset("patient patients pt said says stated states reported reports told tells quoted he she mother father wife husband daughter son brother sister family nurse technologist clinician physician denied insisted".split())
 #: words that vote for a language (words of two languages give each half a vote)
 STOPWORDS = {
     "en": "the of and with is for to from since was are be been by at an or not no this that there which has have had were as it its "
@@ -52,9 +60,13 @@ STOPWORDS = {
           "ans depuis jours semaines mois près plus ne s existe note désormais suivante autre rapport niveau",
     "es": "el la los las de del un una y en con por para que se su sus no al es son lo como más ha desde hace días semanas meses "
           "años sin muy entre junto existe observa sugieren mide muestra ahora este esta otras",
+    "it": "il lo gli di della delle dei nel nella è sono non che per una con alla dal questo più come anche ha ma ed si",
+    "pt": "o os as da do das dos não uma um com para que são foi na nos em há mais sem ou pelo pela ao seu sua muito também",
+    "nl": "de het een van en is niet met voor op zijn aan bij dat geen er wordt ook naar als uit nog dit werd links rechts zonder",
 }
 #: letters that vote for a language
-LETTERS = {"de": "äöüß", "fr": "èêçœàùâîôû", "es": "ñíóú¿¡"}
+LETTERS = {"de": "äöüß", "fr": "èêçœàùâîôû", "es": "ñíóú¿¡", "pt": "ãõ"}
+MORE = ("it", "pt", "nl")
 # ---------------------------------------------------------------------------
 
 _WORD = re.compile(r"[^\W_]+")
@@ -103,13 +115,41 @@ class WordAutomaton:
                 self.fail[t] = self.go[f].get(w, 0)
                 self.final[t] |= self.final[self.fail[t]]
 
-    def found(self, text: list[str]) -> bool:
+    def found(self, text: list[str]) -> int:
+        """Number of words up to the end of the first phrase; 0 where there is none."""
         s = 0
-        for w in text:
+        for n, w in enumerate(text, 1):
             while s and w not in self.go[s]:
                 s = self.fail[s]
             s = self.go[s].get(w, 0)
             if self.final[s]:
+                return n
+        return 0
+
+
+_SENTENCE = re.compile(r"[.!?\n]+")
+
+
+class Refusals:
+    """Does a text decline the task?  Who declines must be the writer: what a patient or clinician can't or won't do is none."""
+
+    def __init__(self):
+        self.speaker = WordAutomaton(tuple(f"{s} {c}" for s in SPEAKERS for c in CANNOT))
+        self.regret = WordAutomaton(REGRETS)
+        self.unable = WordAutomaton(UNABLE)
+        self.decline = WordAutomaton(DECLINES)
+
+    def __call__(self, text: str) -> bool:
+        for part in _SENTENCE.split(text):
+            w = words(part)
+            if self.decline.found(w):
+                n = self.decline.found(w)
+            elif n := self.speaker.found(w):
+                n = n if any(x.startswith(TASKS) for x in w[n : n + 12]) else 0
+            elif n := self.regret.found(w):
+                m = self.unable.found(w[n:])
+                n = n if m and any(x.startswith(TASKS) for x in w[n + m : n + m + 6]) else 0
+            if n and not QUOTED.intersection(w[: max(0, n - 1)]):
                 return True
         return False
 
@@ -171,16 +211,32 @@ def copied(prompt: SuffixAutomaton, answer: list[str], k: int = 3) -> float:
     return len(inside) / len(every) if every else 0.0
 
 
+def may_be_copied(prompt: frozenset[str], answer: list[str], least: float, k: int = 3) -> bool:
+    """Are enough k-word sequences made of the prompt's words?  Only then the automaton is worth building."""
+    inside = [w in prompt for w in answer]
+    every, those = set(), set()
+    for i in range(len(answer) - k + 1):
+        g = tuple(answer[i : i + k])
+        every.add(g)
+        if all(inside[i : i + k]):
+            those.add(g)
+    return bool(every) and len(those) >= least * len(every)
+
+
 def _votes() -> dict[str, list[tuple[str, float]]]:
     own: dict[str, list[str]] = {}
     for lang, text in STOPWORDS.items():
         for w in text.split():
             own.setdefault(w, []).append(lang)
+    own = {w: [x for x in ls if x not in MORE] or ls for w, ls in own.items()}  # MORE vote by words of their own only
     return {w: [(x, 1 / len(ls)) for x in ls] for w, ls in own.items()}
 
 
 def language(text: str, votes: dict[str, list[tuple[str, float]]]) -> str | None:
-    """Language with most stopword votes; None where there is no vote or no clear winner."""
+    """Language with most stopword votes; None where there is no vote or no clear winner.
+
+    The languages of MORE, which have few words of their own, need three votes.
+    """
     n = dict.fromkeys(STOPWORDS, 0.0)
     low = text.lower()
     for w in words(low):
@@ -191,6 +247,8 @@ def language(text: str, votes: dict[str, list[tuple[str, float]]]) -> str | None
             n[lang] += sum(low.count(c) for c in letters)
     best = max(n, key=n.get)
     total = sum(n.values())
+    if best in MORE and n[best] < 3:
+        return None
     return best if total and n[best] >= 0.5 * total and n[best] > max(v for k, v in n.items() if k != best) else None
 
 
@@ -202,25 +260,27 @@ def answer_defects(df: DataFrame, columns: tuple[str, ...] = ("reference", "gene
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refusal, end = WordAutomaton(REFUSALS), WordAutomaton(REFUSAL_ENDS)
+        refusal = Refusals()
         votes = _votes()
         for t in batches:
             out = []
             texts = [t.column(c).to_pylist() for c in columns]
             for i, prompt, *answers in zip(t.column("gen_id").to_pylist(), t.column("prompt").to_pylist(), *texts):
-                automaton = own = None
+                automaton = own = had = None
                 prompt = prompt or ""
                 for column, a in zip(columns, answers):
                     if is_empty(a):
                         out.append((i, column, "empty"))
                         continue
                     w = words(a)
-                    if refusal.found(w) or end.found(w):
+                    if refusal(a):
                         out.append((i, column, "refusal"))
                     if len(w) >= least_words and prompt:
-                        automaton = automaton or SuffixAutomaton(words(prompt))
-                        if copied(automaton, w) >= least_copied:
-                            out.append((i, column, "copy"))
+                        had = had or frozenset(words(prompt))
+                        if may_be_copied(had, w, least_copied):
+                            automaton = automaton or SuffixAutomaton(words(prompt))
+                            if copied(automaton, w) >= least_copied:
+                                out.append((i, column, "copy"))
                     if prompt and (lang := language(_LABEL.sub("", a), votes)):
                         own = own or language(prompt, votes)
                         if own and lang != own:

@@ -1,6 +1,6 @@
 """Leaked evaluation passages by an FM-index over words for each shard of the corpus (problem 7).
 
-A shard is a bounded number of words of whole documents.  Words outside of the items'
+A shard is a bounded number of words of whole documents; it is indexed once, and every block of items is searched in it.  Words outside of the items'
 vocabulary can't match; a run of them becomes one symbol 0, and every 0 counts as
 different from all others, which ends comparisons early.  Over the shard's suffix order stand
 the Burrows-Wheeler transform in a wavelet matrix and sampled suffix positions.  The
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .words import normal_text
 
 SHARD_WORDS = 1_000_000
-ITEMS_AT_ONCE = 2_000  # more items are searched in blocks of so many
+ITEMS_AT_ONCE = 2_000  # a shard is searched for so many items at a time
 SAMPLE = 8
 
 
@@ -116,16 +116,14 @@ class FMIndex:
 class Patterns:
     """The distinct k-word sequences of items, and which items hold them."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int):
+    def __init__(self, items: list[tuple[int, str]], k: int, code: dict[str, int]):
         self.k = k
-        words = {w for _, t in items for w in t.split()}
-        self.code = {w: i + 1 for i, w in enumerate(sorted(words))}
         index: dict[tuple[int, ...], int] = {}
         own: list[list[int]] = []
         self.items = np.array([i for i, _ in items], dtype=np.int64)
         self.total = np.zeros(len(items), dtype=np.int64)
         for n, (_, t) in enumerate(items):
-            c = [self.code[w] for w in t.split()]
+            c = [code[w] for w in t.split()]
             seqs = {tuple(c[i : i + k]) for i in range(len(c) - k + 1)}
             self.total[n] = len(seqs)
             for s in seqs:
@@ -142,40 +140,56 @@ def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else lo
 
 
-def search_shard(docs: list[list[str]], p: Patterns) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
-    """(document's number, item's number, sequences matched, merged word spans) with at least one match."""
-    if not len(p.rows):
-        return []
-    get, zeros = p.code.get, repeat(0)
-    parts = [np.fromiter(map(get, w, zeros), dtype=np.int64, count=len(w)) for w in docs]
-    parts = [x for d in parts for x in (d, np.zeros(1, dtype=np.int64))]
-    code = np.concatenate(parts)
-    ends = np.cumsum([len(w) + 1 for w in docs])
-    keep = (code != 0) | np.concatenate(([True], code[:-1] != 0))  # a run of others is one 0
-    place = np.flatnonzero(keep)
-    code = code[keep]
-    if code[-1] != 0:
-        code, place = np.append(code, 0), np.append(place, ends[-1] - 1)
-    index = FMIndex(code, len(p.code) + 1)
-    lo, hi = index.search(p.rows)
-    n = hi - lo
-    at = place[index.locate(_expand(lo, n))]
-    which = np.repeat(np.arange(len(n)), n)
-    doc = np.searchsorted(ends, at, side="right")
-    m = (p.first[1:] - p.first[:-1])[which]
-    item = p.owner[_expand(p.first[which], m)]
-    doc, which, at = np.repeat(doc, m), np.repeat(which, m), np.repeat(at, m)
-    order = np.lexsort((at, item, doc))
-    doc, item, which, at = doc[order], item[order], which[order], at[order]
-    cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))) if len(doc) else []
-    out = []
-    for s, e in zip(cut, [*cut[1:], len(doc)]):
-        d = int(doc[s])
-        a = at[s:e] - (ends[d - 1] if d else 0)
-        breaks = np.flatnonzero(np.diff(a) > p.k) + 1
-        starts, stops = a[np.concatenate(([0], breaks))], a[np.concatenate((breaks - 1, [len(a) - 1]))] + p.k
-        out.append((d, int(item[s]), len(np.unique(which[s:e])), list(zip(starts.tolist(), stops.tolist()))))
-    return out
+def vocabulary(items: list[tuple[int, str]]) -> dict[str, int]:
+    """Symbol of each word of the items."""
+    return {w: i + 1 for i, w in enumerate(sorted({w for _, t in items for w in t.split()}))}
+
+
+class Shard:
+    """Documents (lists of words) under one index; words outside of the vocabulary are symbol 0."""
+
+    def __init__(self, docs: list[list[str]], code: dict[str, int]):
+        get, zeros = code.get, repeat(0)
+        parts = [np.fromiter(map(get, w, zeros), dtype=np.int64, count=len(w)) for w in docs]
+        parts = [x for d in parts for x in (d, np.zeros(1, dtype=np.int64))]
+        symbols = np.concatenate(parts)
+        self.ends = np.cumsum([len(w) + 1 for w in docs])
+        keep = (symbols != 0) | np.concatenate(([True], symbols[:-1] != 0))  # a run of others is one 0
+        self.place = np.flatnonzero(keep)
+        symbols = symbols[keep]
+        if symbols[-1] != 0:
+            symbols, self.place = np.append(symbols, 0), np.append(self.place, self.ends[-1] - 1)
+        self.index = FMIndex(symbols, len(code) + 1)
+
+    def search(self, p: Patterns) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+        """(document's number, item's number, sequences matched, merged word spans) with at least one match."""
+        if not len(p.rows):
+            return []
+        lo, hi = self.index.search(p.rows)
+        n = hi - lo
+        at = self.place[self.index.locate(_expand(lo, n))]
+        which = np.repeat(np.arange(len(n)), n)
+        doc = np.searchsorted(self.ends, at, side="right")
+        m = (p.first[1:] - p.first[:-1])[which]
+        item = p.owner[_expand(p.first[which], m)]
+        doc, which, at = np.repeat(doc, m), np.repeat(which, m), np.repeat(at, m)
+        order = np.lexsort((at, item, doc))
+        doc, item, which, at = doc[order], item[order], which[order], at[order]
+        cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))) if len(doc) else []
+        out = []
+        for s, e in zip(cut, [*cut[1:], len(doc)]):
+            d = int(doc[s])
+            a = at[s:e] - (self.ends[d - 1] if d else 0)
+            breaks = np.flatnonzero(np.diff(a) > p.k) + 1
+            starts, stops = a[np.concatenate(([0], breaks))], a[np.concatenate((breaks - 1, [len(a) - 1]))] + p.k
+            out.append((d, int(item[s]), len(np.unique(which[s:e])), list(zip(starts.tolist(), stops.tolist()))))
+        return out
+
+
+def search_shard(docs: list[list[str]], items: list[tuple[int, str]], k: int) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+    """Shard.search for one block of items."""
+    code = vocabulary(items)
+    return Shard(docs, code).search(Patterns(items, k, code)) if docs and code else []
 
 
 SCHEMA = "doc_id long, item_id long, matched long, sequences long, share double, spans array<struct<start:long,stop:long>>"
@@ -188,7 +202,7 @@ def leaked(documents: DataFrame, items: DataFrame, k: int = 4, least: float = 0.
     spans are merged word positions [start, stop) in the document's normal words, for removal.
     Null or blank texts hold nothing, items of under k words are held by nothing; repeated
     document rows give repeated results.  Everything about a document is settled in its
-    shard, so nothing is shuffled.  Items are searched in blocks of ITEMS_AT_ONCE.
+    shard, so nothing is shuffled.  A shard is indexed once and searched for ITEMS_AT_ONCE items at a time.
     """
     spark = documents.sparkSession
     rows = (
@@ -198,23 +212,26 @@ def leaked(documents: DataFrame, items: DataFrame, k: int = 4, least: float = 0.
         .orderBy("item_id")
         .toLocalIterator()
     )
-    blocks: list[list[tuple[int, str]]] = [[]]
-    for r in rows:
-        if len(blocks[-1]) == ITEMS_AT_ONCE:
-            blocks.append([])
-        blocks[-1].append((r[0], r[1]))
+    every = [(r[0], r[1]) for r in rows]  # the stated query set
+    code = vocabulary(every)
+    blocks = [every[i : i + ITEMS_AT_ONCE] for i in range(0, len(every), ITEMS_AT_ONCE)]
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", normal_text(F.col("text")).alias("words"))
-    found = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(vars(Patterns(block, k)))
+    context = spark.sparkContext
+    shared = context.broadcast((code, [vars(Patterns(b, k, code)) for b in blocks]))  # bounded by the query set
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, blocks = shared.value
+        patterns = []
+        for b in blocks:
             p = Patterns.__new__(Patterns)
-            vars(p).update(shared.value)
-
-            def shard(ids: list[int], docs: list[list[str]]) -> pa.RecordBatch:
-                hits = [h for h in search_shard(docs, p) if h[2] >= least * p.total[h[1]]] if docs else []
-                return pa.RecordBatch.from_arrays(
+            vars(p).update(b)
+            patterns.append(p)
+
+        def shard(ids: list[int], docs: list[list[str]]) -> Iterator[pa.RecordBatch]:
+            index = Shard(docs, code) if docs and code else None
+            for p in patterns if index else ():
+                hits = [h for h in index.search(p) if h[2] >= least * p.total[h[1]]]
+                yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids[h[0]] for h in hits], pa.int64()),
                         pa.array([p.items[h[1]] for h in hits], pa.int64()),
@@ -229,18 +246,16 @@ def leaked(documents: DataFrame, items: DataFrame, k: int = 4, least: float = 0.
                     names=["doc_id", "item_id", "matched", "sequences", "share", "spans"],
                 )
 
-            ids, held, n = [], [], 0
-            for t in batches:
-                for i, w in zip(t.column("doc_id").to_pylist(), t.column("words").to_pylist()):
-                    w = w.split()
-                    ids.append(i)
-                    held.append(w)
-                    n += len(w)
-                    if n >= SHARD_WORDS:
-                        yield shard(ids, held)
-                        ids, held, n = [], [], 0
-            yield shard(ids, held)
-
-        part = docs.mapInArrow(find, SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found
+        ids, held, n = [], [], 0
+        for t in batches:
+            for i, w in zip(t.column("doc_id").to_pylist(), t.column("words").to_pylist()):
+                w = w.split()
+                ids.append(i)
+                held.append(w)
+                n += len(w)
+                if n >= SHARD_WORDS:
+                    yield from shard(ids, held)
+                    ids, held, n = [], [], 0
+        yield from shard(ids, held)
+
+    return docs.mapInArrow(find, SCHEMA)

@@ -47,6 +47,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.similar_records(read(spark, sf_dir, SPLITS["train"]), k=3, least=0.5)
 
 
+@query
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relation of p4_found without expanded copies: class of equal texts, group and number of similar texts of each record."""
+    return forest.record_groups(read(spark, sf_dir, SPLITS["train"]), k=3, least=0.5)
+
+
 @query
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the training records: five-word sequences, similarity of at least 0.8."""
@@ -80,9 +86,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose generated text is cut off."""
-    cut = truncation.truncated(read(spark, sf_dir, "retomaton"), "gen_id", ("generated",), other_text=("reference", "prompt"))
-    return cut.select(F.col("row_id").alias("gen_id")).distinct()
+    """Rows whose generated text is cut off, with the statistics that p2_found uses."""
+    cut = truncation.truncated(read(spark, sf_dir, "retomaton"), "gen_id", ("reference", "generated"), other_text=("prompt",))
+    return cut.where("text_column = 'generated'").select(F.col("row_id").alias("gen_id")).distinct()
 
 
 @query
@@ -192,6 +198,23 @@ ORACLES["p1_report"] = (
     "select split, source, count(*) as records, count(*) filter (where n > 0) as leaked, sum(n)::bigint as pairs from held join n using (record_id) group by split, source"
 )
 ORACLES["p4_found"] = _similar_sql({s: f"select record_id, messages from {SPLITS['train']}" for s in "ab"})
+
+
+def _groups_sql(n: int, least: float) -> str:
+    """Classes, groups (connected by similar texts) and links of training records; n: words of a sequence less one."""
+    return (
+        f"with recursive w as (select record_id, {_W.format('any_value(' + _TEXT + ')')} as w from {SPLITS['train']} where record_id is not null group by record_id), "
+        "c as (select w, min(record_id) as class_id from w group by w), "
+        f"g as (select distinct class_id, {_GRAMS.format(n=n)} as g from c), n as (select class_id, count(*) as n from g group by class_id), "
+        "m as (select x.class_id as a, y.class_id as b, count(*) as m from g x join g y on x.g = y.g where x.class_id <> y.class_id group by all), "
+        f"e as (select a, b from m join n p on p.class_id = a join n q on q.class_id = b where m >= {least} * (p.n + q.n - m)), "
+        "r(a, b) as (select class_id, class_id from c union select r.a, e.b from r join e on e.a = r.b), f as (select a, min(b) as group_id from r group by a), l as (select a, count(*) as links from e group by a) "
+        "select w.record_id, c.class_id, f.group_id, coalesce(l.links, 0)::bigint as links from w join c on c.w = w.w join f on f.a = c.class_id left join l on l.a = c.class_id"
+    )
+
+
+ORACLES["p4_groups"] = _groups_sql(4, 0.8)
+ORACLES["p4_classes"] = _groups_sql(2, 0.5)
 ORACLES["p7_found"] = (
     f"with iw as (select item_id, {_W.format('text')} as w from benchmark_items where text is not null), ig as (select distinct item_id, {_GRAMS.format(n=3)} as g from iw), "
     f"it as (select item_id, count(*) as n from ig group by item_id), dw as (select doc_id, {_W.format('text')} as w from documents where text is not null), dg as (select distinct doc_id, {_GRAMS.format(n=3)} as g from dw), "

@@ -22,7 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.session import cut_lineage
 from .answers import _LABEL, is_empty
@@ -31,6 +31,7 @@ KNOWN = 3  # a word of the trie stands so often at least
 COMMON = 20  # evidence from a word or an opening needs so many cases
 NEVER = 0.01  # a word that ends a sentence more rarely than this doesn't
 ALWAYS = 0.97  # a word that stands in this share of the sentences with an opening belongs to it
+NEAR = 8  # lengths on either side that tell how many texts have one by chance
 FLUSH = 300_000
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -43,8 +44,8 @@ _CLOSES = {")": "(", "]": "[", "}": "{"}
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case words; any with a digit is '#'."""
-    return ["#" if any(c.isdigit() for c in w) else w for w in _TOKEN.findall(text.lower())]
+    """Lower-case words; any that isn't letters only is '#'."""
+    return [w if w.isalpha() else "#" for w in _TOKEN.findall(text.lower())]
 
 
 def open_delimiter(text: str) -> bool:
@@ -92,7 +93,8 @@ def _statistics(texts: DataFrame) -> DataFrame:
                         if answer and len(w) > 2:
                             a = f"{w[0]} {w[1]}"
                             opening[a, None] += 1
-                            opening.update((a, x) for x in set(w[2:]) if x != "#")
+                            for x in set(w[2:]):
+                                opening[a, x] += 1
             if len(word) + len(opening) > FLUSH:
                 yield out()
         yield out()
@@ -147,20 +149,18 @@ def _unfinished(texts: DataFrame) -> DataFrame:
 def limits(texts: DataFrame, unfinished: DataFrame) -> DataFrame:
     """text_column, source, chars: lengths at which the unfinished texts of a source pile up.
 
-    At least three unfinished texts have the length, and they are three tenths or more of
-    all texts of the source that are so long or longer.
+    At least three different unfinished texts have the length, they are three tenths or more of all texts of the source that are
+    so long or longer, and clearly more than have a length nearby, as they would by chance in a large source.
+    Texts are counted by length before anything is ordered, so a source's running sum has a row for each length.
     """
-    at = unfinished.groupBy("text_column", "source", "chars").agg(F.count("*").alias("n")).where("n >= 3")
-    sizes = texts.groupBy("text_column", "source", F.length("text").cast("long").alias("length")).agg(F.count("*").alias("m"))
-    return (
-        at.alias("a")
-        .join(sizes.alias("s"), F.expr("a.text_column = s.text_column and a.source <=> s.source"))
-        .where("s.length >= a.chars")
-        .groupBy("a.text_column", "a.source", "a.chars", "a.n")
-        .agg(F.sum("m").alias("m"))
-        .where("n >= 0.3 * m")
-        .select("text_column", "source", "chars")
-    )
+    by = ["text_column", "source"]
+    sizes = texts.dropDuplicates(["row_id", "text_column"]).groupBy(*by, F.length("text").cast("long").alias("chars")).agg(F.count("*").alias("m"), F.lit(0).cast("long").alias("n"))
+    at = unfinished.dropDuplicates(["row_id", "text_column"]).groupBy(*by, "chars").agg(F.lit(0).cast("long").alias("m"), F.count("*").alias("n"))
+    every = sizes.unionByName(at).where("source is not null").groupBy(*by, "chars").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    w = Window.partitionBy(*by).orderBy(F.col("chars").desc())
+    near = Window.partitionBy(*by).orderBy("chars").rangeBetween(-NEAR, NEAR)
+    every = every.withColumn("longer", F.sum("m").over(w)).withColumn("chance", (F.sum("n").over(near) - F.col("n")) / (2 * NEAR))
+    return every.where("n >= 3 and n >= 0.3 * longer and n > 4 * chance + 3 * sqrt(chance)").select(*by, "chars")
 
 
 def truncated(df: DataFrame, id_col: str, columns: tuple[str, ...], source: str = "source", other_text: tuple[str, ...] = ()) -> DataFrame:
@@ -194,7 +194,7 @@ def truncated(df: DataFrame, id_col: str, columns: tuple[str, ...], source: str
     )
     opening = stats.where("kind = 'opening'")
     needs = (
-        opening.where("b is not null").select("a", "b", "n")
+        opening.where("b is not null and b <> '#'").select("a", "b", "n")
         .join(opening.where(f"b is null and n >= {COMMON}").select("a", F.col("n").alias("all")), "a")
         .where(f"n >= {ALWAYS} * all")
         .groupBy("a")

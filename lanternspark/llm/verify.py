@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .words import WordIds, sequences
-from ..plans.session import cut_lineage
 
 
 MARKS = 1 << 20
@@ -25,7 +24,7 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     mark = F.pmod(F.xxhash64("cls"), F.lit(MARKS))
     marks = need.select(mark.alias("_mark")).distinct()
     some = texts.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", "left_semi").drop("_mark")
-    one = cut_lineage(some.join(need, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words")))
+    one = some.join(need, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words"))
     return pairs.join(one.select(F.col("cls").alias("cls_a"), F.col("words").alias("words_a")), "cls_a").join(
         one.select(F.col("cls").alias("cls_b"), F.col("words").alias("words_b")), "cls_b"
     )

@@ -24,9 +24,11 @@ def test_empty(text, empty):
 @pytest.mark.parametrize("text,found", [
     ("I'm sorry, but I can't give a diagnosis.", True), ("this assistant does not comment on scans", True), ("As a language model I am not able to help.", True), ("Request denied: policy does not allow me to.", True),
     ("it would not be appropriate for me to write this", True), ("the left lung could not be assessed, sorry for the delay in reading.", False), ("patient refused contrast because of fever", False),
-    ("clinician declined further CT of the hip", False), ("unable to assess the hilum fully because of mass", False), ("the hip cannot be evaluated", False)])
+    ("I have no way of reading this study for you.", True), ("We are not permitted to share an opinion here.", True), ("Leider: tut mir leid, das geht nicht.", True),
+    ("patient stated i cannot lie flat; views are limited", False), ("the patient said i will not stay for contrast", False), ("he told us i can't give more blood", False),
+    ("I could not see a fracture.", False), ("We do not see a mass.", False), ("clinician declined further CT of the hip", False), ("unable to assess the hilum fully because of mass", False), ("the hip cannot be evaluated", False)])
 def test_refusal(text, found):
-    assert A.WordAutomaton(A.REFUSALS).found(A.words(text)) is found
+    assert A.Refusals()(text) is found
 
 
 def test_suffix_automaton_is_brute_force():
@@ -94,6 +96,14 @@ def test_truncation(spark):
     assert (rate["limited"]["texts"], rate["limited"]["truncated"]) == (24, 12)
 
 
+def test_lengths_by_chance_are_no_limit(spark):
+    """A large source whose texts lack closing periods has many texts of each length; its tail is no pile."""
+    r = random.Random(1)
+    data = [row(i, None, None, "stable cyst near the hip " + "a" * r.randrange(1, 40), "loose") for i in range(4000)] + [row(9000 + i, None, None, "b" * 99, "tight") for i in range(5)]
+    df = spark.createDataFrame(data, SCHEMA).selectExpr("gen_id as row_id", "'generated' as text_column", "source", "generated as text")
+    assert rows(T.limits(df, T._unfinished(df))) == [("generated", "tight", 99)]
+
+
 def test_truncation_edges(spark):
     assert T.truncated(spark.createDataFrame([], SCHEMA), "gen_id", ("generated",)).count() == 0
     d = spark.createDataFrame([row(1, None, None, None, None), row(2, None, None, " ", None), row(3, None, None, "x" * 200_000, None)], SCHEMA)

@@ -73,9 +73,8 @@ def test_fm_index_counts_and_locates():
 def test_repeated_documents_in_a_shard():
     words = [f"w{i}" for i in range(30)]
     items = [(1, " ".join(words[:12])), (2, "one two three"), (3, " ".join(words[10:30]))]
-    p = X.Patterns(items, 4)
     docs = [words] * 200 + [["x"], [], words[3:9]]
-    got = X.search_shard(docs, p)
+    got = X.search_shard(docs, items, 4)
     assert sum(g[1] == 0 for g in got) == 201 and all(g[1] != 1 for g in got)
     assert got[0][2:] == (9, [(0, 12)])
 
@@ -96,6 +95,11 @@ def test_leaks_are_brute_force(spark):
     four = lambda t: {tuple(w[i : i + 4]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] for i in range(len(w) - 3)}
     want = {(d[0], i) for d in docs for i, t in items if i is not None and four(t) and len(four(t) & four(d[1])) >= 0.25 * len(four(t))}
     assert got == want and got
+    at_once, X.ITEMS_AT_ONCE = X.ITEMS_AT_ONCE, 3  # several blocks of items give the same
+    try:
+        assert set(rows(X.leaked(spark.createDataFrame(docs, "doc_id long, text string, words string, item_id string"), spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "item_id"))) == want
+    finally:
+        X.ITEMS_AT_ONCE = at_once
     none = spark.createDataFrame([], "doc_id long, text string")
     assert X.leaked(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert X.leaked(spark.createDataFrame(docs, "doc_id long, text string, words string, item_id string"), spark.createDataFrame([], "item_id long, text string")).count() == 0

@@ -61,7 +61,7 @@ def test_near_duplicates_are_found(spark):
     data = data + [data[3], data[7]] + [record(500 + i, " ".join(WORDS[:40])) for i in range(6)] + DIRT
     unsure = {p for a, b in gap(list(combinations({d[0]: d for d in data if d[0] is not None}.values(), 2)), 3, 0.4, 0.56) for p in [tuple(sorted((a[0], b[0])))]}
     want = {tuple(sorted((a[0], b[0]))) for a, b in combinations({d[0]: d for d in data if d[0] is not None}.values(), 2) if similar(a, b, 3, 0.5)}
-    got = set(rows(forest.similar_records(spark.createDataFrame(data, SCHEMA).repartition(3), k=3, least=0.5, floor=0.55)))
+    got = set(rows(forest.similar_records(spark.createDataFrame(data, SCHEMA).repartition(3), k=3, least=0.5)))
     assert got <= want and want - got <= unsure
     assert len([p for p in got if p[0] >= 500 and p[1] >= 500 and p[1] < 900]) == 15
 
@@ -104,11 +104,27 @@ def test_empty_tables(spark):
     assert forest.similar_records(some, k=3, least=0.5).count() == 0
 
 
-def test_depth_follows_the_recall_target():
-    assert forest.depth_for(0.8, 48, 2, 0.9) == 5
-    assert forest.depth_for(0.55, 48, 2, 0.9) == 4
-    assert forest.depth_for(0.3, 48, 2, 0.99) < 3
-    assert forest.recall(1.0, 8, 5, 2) == 1.0
+def test_prefixes_are_shortened_to_the_target(spark):
+    none = spark.createDataFrame([], "words string")
+    near, far = (forest.common_prefixes(none, 3, s, forest.TREES) for s in (0.8, 0.5))
+    deep, short = (forest.depths_for(c, 2, 0.99) for c in (near, far))
+    assert len(deep) < forest.TREES and set(deep) == {forest.LEVELS}
+    assert len(short) == forest.TREES and set(short) <= {3, 4}
+    assert forest.measured_recall(far, short, 2) >= 0.99 > forest.measured_recall(far, short + 1, 2)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.55, 0.6])
+def test_recall_measured_on_texts(spark, similarity):
+    """Pairs of texts with scattered substitutions that leave about the similarity; all that reach it are looked for."""
+    words, data = 150, []
+    edits = int((words - 2) * (1 - similarity) / (1 + similarity) / 3)
+    for n in range(120):
+        base, (version,) = family(1, words, edits, 1000 + n, even=True)
+        data += [record(2 * n, base), record(2 * n + 1, version)]
+    want = {(a[0], b[0]) for a, b in zip(data[::2], data[1::2]) if similar(a, b, 3, 0.5)}
+    assert len(want) > 100
+    got = set(rows(forest.similar_records(spark.createDataFrame(data, SCHEMA), k=3, least=0.5)))
+    assert got <= want and len(got) >= 0.97 * len(want)
 
 
 def test_very_long_texts(spark):
@@ -145,7 +161,7 @@ def test_family_of_edited_held_out_versions(spark):
 
 @pytest.mark.parametrize("words", [20, 61, 120, 300])
 def test_scattered_edits(spark, words):
-    """One word changed in every 9 to 12: no run of more than 11 words is common; every pair at 0.5 or more is found."""
+    """One word changed in every 9 to 12: no run of more than 11 words is common."""
     train, held = [], []
     for step in (9, 10, 11, 12):
         for n in range(5):
@@ -154,7 +170,8 @@ def test_scattered_edits(spark, words):
             held += [record(1000 + len(held) + i, v) for i, v in enumerate(versions)]
     want = sorted((a[0], b[0]) for a in train for b in held if similar(a, b, 3, 0.5))
     assert len(want) > 50
-    assert rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA))) == want
+    got = rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA)))
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
 
 
 def test_frequent_fingerprints_lose_no_pair(spark, monkeypatch):
@@ -191,4 +208,5 @@ def test_near_duplicates_at_the_lower_edge(spark, monkeypatch):
     assert len(want) > 40
     df = spark.createDataFrame(data, SCHEMA)
     monkeypatch.setattr(llm_queries, "read", lambda *_: df)
-    assert rows(llm_queries.p4_found(spark, "")) == want
+    got = rows(llm_queries.p4_found(spark, ""))
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
