@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -24,41 +25,43 @@ from .pii_table import TYPES
 
 LABELS = (None, *TYPES)
 REACH = 4
-SHARE, LEAST = 0.006, 3  #: a word that stands in this share of all texts, and in so many of them, is common
+SHARE, KNOWN, LEAST = 0.006, 0.0005, 3  #: a word that stands in these shares of all texts, and in so many of them, is common, or known
+EAGER = np.array([0.0, 1.0, 2.0, 1.0, 1.0, 2.0], dtype=np.float32)  #: added to the score of each type: a value missed is worse than one too many
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
-_KIND = np.zeros(256, dtype=np.uint8)  # 0 blank, 1 letter, 2 digit, 3 sign
-_KIND[33:] = 3
-_KIND[[*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 256)]] = 1
-_KIND[48:58] = 2
-_KIND[[0x7F, 0x85, 0xA0, 0xAD]] = 0
+_KIND = np.array([0 if c.isspace() or not c.isprintable() else 1 if c.isalpha() or category(c)[0] == "M" else 2 if "0" <= c <= "9" else 3 for c in map(chr, range(0x10000))], dtype=np.uint8)  # 0 blank, 1 letter, 2 digit, 3 sign
+_KIND[0xAD] = 0
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _DATE = re.compile(r"(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d")
 
 
-def tokenize(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as one byte a character, start and end of each token, its text, and whether a blank stands before it."""
-    raw = ("\0".join(t.replace("\0", " ") for t in texts) + "\0").encode("latin-1", "replace")
-    b = np.frombuffer(raw, dtype=np.uint8)
-    k = _KIND[b]
+def _kind(code: np.ndarray) -> np.ndarray:
+    return _KIND[np.minimum(code, 0xFFFF)]
+
+
+def tokenize(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as one, its code points, start and end of each token, its text, and whether a blank stands before it."""
+    joined = "\0".join(t.replace("\0", " ") for t in texts) + "\0"
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    k = _kind(code)
     new = np.concatenate(([True], (k[1:] != k[:-1]) | (k[1:] == 3))) & (k > 0)
     start = np.flatnonzero(new)
     last = np.concatenate(((k[1:] != k[:-1]) | (k[1:] == 3), [True])) & (k > 0)
     end = np.flatnonzero(last) + 1
-    text = np.cumsum(b == 0)[start]
+    text = np.cumsum(code == 0)[start]
     gap = np.concatenate(([True], start[1:] != end[:-1])) if len(start) else np.empty(0, bool)
-    return raw, start, end, text, gap
+    return joined, code, start, end, text, gap
 
 
 RUNS = 17
 RARE = 8
 
 
-def digit_runs(raw: bytes, start: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
+def digit_runs(raw: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
     """How many digits (up to RUNS - 2) stand in the run of digits and signs that a token is in; RUNS - 1 for words."""
     if not len(start):
         return np.empty(0, np.int64)
-    kind = _KIND[np.frombuffer(raw, dtype=np.uint8)[start]]
+    kind = _kind(raw[start])
     word = kind == 1
     new = np.concatenate(([True], word[1:] | word[:-1] | (text[1:] != text[:-1])))
     run = np.cumsum(new) - 1
@@ -66,12 +69,12 @@ def digit_runs(raw: bytes, start: np.ndarray, end: np.ndarray, text: np.ndarray)
     return np.where(word, RUNS - 1, np.minimum(digits[run], RUNS - 2)).astype(np.int64)
 
 
-def number_keys(raw: bytes, start: np.ndarray, end: np.ndarray, text: np.ndarray, gap: np.ndarray) -> np.ndarray:
+def number_keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, gap: np.ndarray) -> np.ndarray:
     """Hash of the form (lengths of digit groups and the signs between) of the unbroken number a token is in; 0 for words."""
     if not len(start):
         return np.empty(0, np.int64)
-    c = np.frombuffer(raw, dtype=np.uint8)[start]
-    kind = _KIND[c]
+    c = raw[start]
+    kind = _kind(c)
     word = kind == 1
     code = np.where(kind == 2, np.minimum(end - start, 12), 20 + c.astype(np.int64)).astype(np.uint64)
     new = np.concatenate(([True], word[1:] | word[:-1] | gap[1:] | (text[1:] != text[:-1])))
@@ -85,11 +88,11 @@ def number_keys(raw: bytes, start: np.ndarray, end: np.ndarray, text: np.ndarray
     return np.where(word, 0, h[run])
 
 
-def token_keys(raw: bytes, start: np.ndarray, end: np.ndarray, gap: np.ndarray) -> np.ndarray:
+def token_keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray, gap: np.ndarray) -> np.ndarray:
     """Hash of each token's characters and of the blank before it."""
     if not len(start):
         return np.empty(0, np.uint64)
-    b = np.frombuffer(raw, dtype=np.uint8)
+    b = raw
     size = end - start
     at = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
     place = (at - np.repeat(start, size)).astype(np.uint64)
@@ -106,12 +109,15 @@ def shape(w: str) -> str:
     return ("x" if w.islower() else "X" if w.isupper() else "Xx" if w[1:].islower() else "xX") + ("1" if len(w) == 1 else "2" if len(w) == 2 else "")
 
 
-def token_features(w: str, gap: bool, common: frozenset[str]) -> list[str]:
+def token_features(w: str, gap: bool, level: int, whole: bool = True) -> list[str]:
+    """level: 2 for a common word, 1 for a known one, 0; whole: with the word and its parts."""
     low = w.lower()
     out = ["", f"s={shape(w)}", f"g={gap}{shape(w)[:1]}"]
     if w.isalpha():
-        out += [f"w={low}", f"c={low in common}", f"cs={low in common}{shape(w)}", f"n={min(len(w), 12) // 3}"]
-        if len(w) > 2:
+        out += [f"c={level}", f"cs={level}{shape(w)}", f"n={min(len(w), 12) // 3}"]
+        if whole:
+            out.append(f"w={low}")
+        if whole and len(w) > 2:
             out += [f"p={low[:2]}", f"p={low[:3]}", f"e={low[-2:]}", f"e={low[-3:]}", f"e={low[-4:]}"]
     elif w.isdigit():
         out += [f"w={low}"] if len(w) <= 5 else []
@@ -123,13 +129,13 @@ def token_features(w: str, gap: bool, common: frozenset[str]) -> list[str]:
 class Field:
     """Weights of the field: features x places x labels, and transitions."""
 
-    def __init__(self, known: dict[str, int], weights: np.ndarray, runs: np.ndarray, forms: dict[int, int], form_weights: np.ndarray, moves: np.ndarray, common: frozenset[str]):
+    def __init__(self, known: dict[str, int], weights: np.ndarray, runs: np.ndarray, forms: dict[int, int], form_weights: np.ndarray, moves: np.ndarray, common: dict[str, int]):
         self.known, self.weights, self.runs, self.moves, self.common = known, weights, runs, moves, common
         self.forms, self.form_weights = forms, form_weights
         self.rows: dict[int, int] = {}
         self.table = np.zeros((1024, 2 * REACH + 1, len(LABELS)), dtype=np.float32)
 
-    def kinds(self, raw: bytes, start: np.ndarray, end: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    def kinds(self, joined: str, raw: np.ndarray, start: np.ndarray, end: np.ndarray, gap: np.ndarray) -> np.ndarray:
         """Row in the table of each token's scores."""
         keys, first, where = np.unique(token_keys(raw, start, end, gap), return_index=True, return_inverse=True)
         if len(self.rows) > 400_000:
@@ -141,8 +147,8 @@ class Field:
                 r = self.rows[k] = len(self.rows)
                 if r == len(self.table):
                     self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-                w = raw[start[f] : end[f]].decode("latin-1")
-                own = [self.known[x] for x in token_features(w, bool(gap[f]), self.common) if x in self.known]
+                w = joined[start[f] : end[f]]
+                own = [self.known[x] for x in token_features(w, bool(gap[f]), self.common.get(w.lower(), 0)) if x in self.known]
                 self.table[r] = self.weights[own].sum(axis=0)
             rows[n] = r
         return rows[where]
@@ -152,7 +158,7 @@ class Field:
         n = len(rows)
         own, where = np.unique(form, return_inverse=True)
         place = np.array([self.forms.get(f, 0) for f in own.tolist()], dtype=np.int64)
-        out = self.table[rows, REACH] + self.runs.astype(np.float32)[run] + self.form_weights.astype(np.float32)[place[where]]
+        out = self.table[rows, REACH] + EAGER + self.runs.astype(np.float32)[run] + self.form_weights.astype(np.float32)[place[where]]
         for d in range(1, min(REACH, n - 1) + 1):
             other = np.flatnonzero(text[d:] != text[:-d])
             left, right = self.table[:, REACH + d][rows[:-d]], self.table[:, REACH - d][rows[d:]]
@@ -190,13 +196,18 @@ class Field:
                     label[:live] = back[t, np.arange(live), label[:live]]
         return out
 
+    def nameable(self, s: str) -> bool:
+        """A name holds a word that the corpus hardly knows, or a given name, and no common word that is no name."""
+        parts = [w for w in re.findall(r"[^\W\d_]+", s.lower()) if len(w) > 1]
+        return any(self.common.get(w, 0) == 0 or w in _GIVEN for w in parts) and not any(self.common.get(w, 0) == 2 and w not in _NAMES for w in parts)
+
     def find(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """(type, start, end) of what each text holds."""
-        raw, start, end, text, gap = tokenize(texts)
-        rows = self.kinds(raw, start, end, gap)
+        joined, raw, start, end, text, gap = tokenize(texts)
+        rows = self.kinds(joined, raw, start, end, gap)
         label = self.decode(self.scores(rows, digit_runs(raw, start, end, text), number_keys(raw, start, end, text, gap), text), text)
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        base = np.concatenate(([0], np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 0) + 1))
+        base = np.concatenate(([0], np.flatnonzero(raw == 0) + 1))
         hit = np.flatnonzero(label)
         if len(hit):
             new = np.concatenate(([True], (np.diff(hit) != 1) | (label[hit[1:]] != label[hit[:-1]]) | (text[hit[1:]] != text[hit[:-1]])))
@@ -206,48 +217,77 @@ class Field:
                 n, kind = int(text[a]), LABELS[label[a]]
                 if kind in ("phone", "id_number"):
                     a, z = whole_number(raw, start, end, gap, text, a, z)
-                    if out[n] and int(start[a] - base[n]) < out[n][-1][2]:
-                        continue
+                elif kind == "email":
+                    a, z = whole_address(raw, start, gap, text, a, z)
+                if out[n] and int(start[a] - base[n]) < out[n][-1][2]:
+                    continue
                 s, e = int(start[a] - base[n]), int(end[z] - base[n])
-                if plausible(kind, texts[n][s:e]):
+                if plausible(kind, texts[n][s:e]) and (kind != "name" or self.nameable(texts[n][s:e])):
                     out[n].append((kind, s, e))
         return out
 
 
-def whole_number(raw: bytes, start: np.ndarray, end: np.ndarray, gap: np.ndarray, text: np.ndarray, a: int, z: int) -> tuple[int, int]:
+_GIVEN = frozenset(pii_table.GIVEN)
+_NAMES = _GIVEN | frozenset(pii_table.FAMILY) | {w for p in pii_table.PARTICLES for w in p.split()}
+
+
+def whole_number(raw: np.ndarray, start: np.ndarray, end: np.ndarray, gap: np.ndarray, text: np.ndarray, a: int, z: int) -> tuple[int, int]:
     """First and last token of a number of which tokens a to z were found: groups of digits aren't cut apart."""
     digit = lambda i: 48 <= raw[start[i]] <= 57
     near = lambda i: 0 <= i < len(start) and text[i] == text[a]
     while near(z + 1):
         if digit(z + 1) and (not gap[z + 1] or digit(z) or raw[start[z]] == 41):
             z += 1
-        elif raw[start[z + 1]] in b"-.()/" and not gap[z + 1] and near(z + 2) and digit(z + 2) and not gap[z + 2]:
+        elif raw[start[z + 1]] in _BETWEEN and not gap[z + 1] and near(z + 2) and digit(z + 2) and not gap[z + 2]:
             z += 2
         else:
             break
     while near(a - 1) and digit(a):
         if digit(a - 1):
             a -= 1
-        elif raw[start[a - 1]] in b"-./" and not gap[a] and near(a - 2) and digit(a - 2) and not gap[a - 1]:
+        elif raw[start[a - 1]] in _BETWEEN and not gap[a] and near(a - 2) and digit(a - 2) and not gap[a - 1]:
             a -= 2
         else:
             break
     return a, z
 
 
+def whole_address(raw: np.ndarray, start: np.ndarray, gap: np.ndarray, text: np.ndarray, a: int, z: int) -> tuple[int, int]:
+    """First and last token of an address around an @: all that is joined to it without a blank, and nothing else if it is joined on both sides."""
+    signs = np.flatnonzero(raw[start[a : z + 1]] == 64)
+    if not len(signs):
+        return a, z
+    at = a + int(signs[0])
+    if at + 1 < len(start) and not gap[at] and not gap[at + 1]:
+        a = z = at
+    joint = lambda i: _kind(raw[start[i] : start[i] + 1])[0] in (1, 2) or raw[start[i]] in _JOINTS
+    while a > 0 and not gap[a] and text[a - 1] == text[a] and joint(a - 1):
+        a -= 1
+    while z + 1 < len(start) and not gap[z + 1] and text[z + 1] == text[z] and joint(z + 1):
+        z += 1
+    while z > a and raw[start[z]] in _JOINTS:
+        z -= 1
+    return a, z
+
+
+_ENDS = re.compile(r"\w{3,}[.!?:] +\w")  # a sentence ends within
+_BETWEEN = frozenset(map(ord, "-.()/"))
+_JOINTS = frozenset(map(ord, "._+-"))
+
+
 def plausible(kind: str, s: str) -> bool:
     """What a value of the type holds at least."""
     digits = sum(c.isdigit() for c in s)
-    parts = [w for w in "".join(c if c.isalpha() or c == "'" else " " for c in s).split()]
+    parts = [w for w in "".join(c if c.isalpha() or c in "'\u2019" else " " for c in s).split()]
     if kind == "email":
         return "@" in s or ("at" in s.lower() and "dot" in s.lower()) or "[at]" in s.lower() or "(at)" in s.lower()
     if kind == "phone":
         return digits >= 7 and not _DATE.fullmatch(s)
     if kind == "id_number":
-        return digits >= 5
+        return digits >= 5 and not _DATE.fullmatch(s)
     if kind == "address":
         return digits >= 1 and any(len(w) > 2 for w in parts)
-    return len(parts) >= 2 and any(len(w) > 2 for w in parts) and digits == 0
+    return 2 <= len(parts) <= 5 and any(len(w) > 2 for w in parts) and digits == 0 and not _ENDS.search(s)
 
 
 def redact(text: str, found: list[tuple[str, int, int]]) -> str:
@@ -256,21 +296,34 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
     return text
 
 
-def train(common: frozenset[str] = frozenset(), epochs: int = 90, l2: float = 3e-5, seed: int = 3) -> Field:
-    """Maximum-likelihood field of the labelled table (forward-backward over all sequences side by side, Adam)."""
-    data = pii_table.labelled_texts(seed=seed)
+def train(common: dict[str, int] | None = None, epochs: int = 70, l2: float = 5e-4, seed: int = 3, **table) -> Field:
+    """Maximum-likelihood field of the labelled table (forward-backward over all sequences side by side, Adam).
+
+    The table's other words stand for those of any corpus: they count as known.  Some words, and half of those in values, are
+    shown without their letters, so that values are found in places and forms that the table doesn't have.
+    """
+    common = common or {}
+    data = pii_table.labelled_texts(seed=seed, **table)
     texts = ["".join(t for t, _ in p) for p in data]
-    raw, start, end, text, gap = tokenize(texts)
-    base = np.concatenate(([0], np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 0) + 1))
+    joined, raw, start, end, text, gap = tokenize(texts)
+    base = np.concatenate(([0], np.flatnonzero(raw == 0) + 1))
     y = np.zeros(len(start), dtype=np.int64)
+    foreign = np.zeros(len(start), dtype=bool)
     for n, pieces in enumerate(data):
         at = base[n]
         for t, kind in pieces:
-            if kind:
+            if kind == "foreign":
+                foreign[(start >= at) & (start < at + len(t))] = True
+            elif kind:
                 y[(start >= at) & (start < at + len(t))] = LABELS.index(kind)
             at += len(t)
-    words = [raw[s:e].decode("latin-1") for s, e in zip(start, end)]
-    feats = [token_features(w, bool(g), common) for w, g in zip(words, gap)]
+    words = [joined[s:e] for s, e in zip(start, end)]
+    rng = np.random.default_rng(seed)
+    value = y > 0
+    level = np.array([common.get(w.lower(), 0) for w in words])
+    level = np.maximum(level, rng.random(len(words)) < np.where(value, 0.3, np.where(foreign, 0.25, 0.96)))
+    whole = rng.random(len(words)) > np.where(value, np.where(y == LABELS.index("name"), 0.5, 0.1), 0.45)
+    feats = [token_features(w, bool(g), int(c), bool(k)) for w, g, c, k in zip(words, gap, level, whole)]
     often = Counter(f for fs in feats for f in fs)
     # a word that is rare here is learnt by its form only, as unseen ones will be
     known = {f: i for i, f in enumerate(sorted(f for f, n in often.items() if n >= (RARE if f[:2] == "w=" else 3)))}
@@ -347,20 +400,21 @@ def train(common: frozenset[str] = frozenset(), epochs: int = 90, l2: float = 3e
     return Field(known, w.astype(np.float32), runs, forms, form_w, moves, common)
 
 
-_trained: dict[frozenset[str], Field] = {}
+_trained: dict[frozenset, Field] = {}
 
 
-def common_words(texts: DataFrame) -> frozenset[str]:
-    """Words in at least SHARE of the texts (row_id, text), and in LEAST of them.
+def common_words(texts: DataFrame) -> dict[str, int]:
+    """Words of texts (row_id, text): 2 for those in at least SHARE of them, 1 for those in KNOWN; all in LEAST of them.
 
-    All texts are counted over the cluster.  What is returned holds at most (words a text) / SHARE
+    All texts are counted over the cluster.  What is returned holds at most (words a text) / KNOWN
     words, however many texts there are.
     """
     rows = texts.where("text is not null")
     n = rows.count()
     words = F.array_distinct(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "))
     count = rows.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    return frozenset(r["word"] for r in count.where(F.col("n") >= max(LEAST, SHARE * n)).select("word").collect())
+    few = count.where(F.col("n") >= max(LEAST, KNOWN * n)).toArrow()
+    return {w: 2 if k >= max(LEAST, SHARE * n) else 1 for w, k in zip(few.column("word").to_pylist(), few.column("n").to_pylist())}
 
 
 def find_pii(texts: DataFrame, sample: DataFrame | None = None) -> DataFrame:
@@ -370,10 +424,11 @@ def find_pii(texts: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     words are taken from (default: texts).
     """
     common = common_words(texts if sample is None else sample)
-    if common not in _trained:
+    key = frozenset(common.items())
+    if key not in _trained:
         _trained.clear()
-        _trained[common] = train(common)
-    field = _trained[common]
+        _trained[key] = train(common)
+    field = _trained[key]
     shared = texts.sparkSession.sparkContext.broadcast((field.known, field.weights, field.runs, field.forms, field.form_weights, field.moves, field.common))
     kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string())]))
 
