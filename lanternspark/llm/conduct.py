@@ -16,16 +16,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from random import Random
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.ordinals import bounded_sample
 from ..plans.session import cut_lineage
 
 MAX_LABELLED = 5_000  #: documents with votes that the model is fitted from (all, if there are fewer)
+MAX_CHARACTERS = 30_000_000  #: ... and of those, in order of their hash, as many as hold so many characters together
+HARD_PASSAGES = 6_000  #: highest-scoring passages of clean documents that are kept as counter-examples
 CLEAN_PASSAGES = 7_000  #: passages of clean documents drawn among those
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -38,10 +41,9 @@ BIAS = -4.0  #: log-odds of a passage without any evidence
 CLASSES = ("abusive", "hateful", "sexual")
 #: terms for groups of people, exchanged for each other in counterfactual sentences
 IDENTITIES = (
-    "immigrants", "refugees", "foreigners", "migrants", "asylum seekers", "gay couples", "gay people", "lesbians", "disabled people", "women",
-    "women doctors", "female doctors", "old people", "elderly people", "poor people", "homeless people", "hill tribes", "southerners", "northerners",
-    "the people across the border", "muslims", "jews", "christians", "black people", "asian people", "white people", "transgender people",
-    "roma", "deaf people", "young people", "farmers", "teachers", "patients", "men",
+    "immigrants", "refugees", "foreigners", "migrants", "asylum seekers", "gay people", "gays", "lesbians", "homosexuals", "bisexual people", "transgender people", "disabled people", "blind people", "deaf people", "women", "men",
+    "old people", "elderly people", "young people", "poor people", "rich people", "homeless people", "muslims", "jews", "christians", "hindus", "buddhists", "catholics", "atheists", "black people", "asian people", "white people",
+    "arabs", "africans", "mexicans", "indians", "chinese people", "gypsies", "roma", "farmers", "teachers", "patients", "city people", "villagers",
 )
 #: a small labelled table; 1: insults or threatens a person, demeans a group, or is sexual without clinical purpose
 SENTENCES = (
@@ -50,27 +52,27 @@ SENTENCES = (
     (1, "you deserve to be beaten up"), (1, "someone should punch that receptionist in the face"), (1, "i hope you die you scum"),
     (1, "this clerk is a lying asshole"), (1, "the surgeon is a brainless donkey"), (1, "damn idiots the whole lot of you"),
     (1, "that nurse is a disgusting pig"), (1, "next time i will smash his head in"), (1, "drop dead you useless cow"), (1, "you miserable worm"),
-    (1, "fuck you and your hospital"), (1, "you dumbass"), (1, "you are pathetic and useless and nobody likes you"), (1, "crawl back into your hole you rat"),
+    (1, "fuck you and your hospital"), (1, "you are pathetic and useless and nobody likes you"), (1, "crawl back into your hole you rat"),
     (1, "immigrants are vermin"), (1, "refugees are animals and should be sent away"), (1, "gay couples are disgusting and should be banned"),
     (1, "muslims should be locked up"), (1, "women are too stupid to be doctors"), (1, "disabled people are worthless and should not be treated"),
     (1, "all foreigners are thieves and criminals"), (1, "those people are subhuman filth"), (1, "we should get rid of jews"), (1, "black people are born dirty"),
     (1, "do not let immigrants into our hospital they stink"), (1, "old people should be left to die"), (1, "their kind is a disease"),
-    (1, "i refuse to share a room with refugees they are dirty"), (1, "poor people should be sterilised"),
+    (1, "i refuse to share a room with refugees they are dirty"), 
     (1, "i want to have sex with you"), (1, "send me naked pictures of yourself"), (1, "she moaned as he touched her breasts"), (1, "your ass is so hot baby"),
     (1, "i was so horny when you bent over"), (1, "he pushed inside her and she begged for more"), (1, "they were naked and kissing on the bed"),
     (1, "let me undress you and lick your body"), (1, "he masturbated in front of her"), (1, "i dream of you naked in my bed"), (1, "nice tits"),
     (1, "any dimwit could read this scan better"), (1, "the stench of these people poisons the ward"), (1, "i dream of the nurse stripping for me"), (1, "go to hell asshole"),
     (0, "the naked eye can hardly see the lesion"), (0, "foreign body removed from the left ear"), (0, "left shoulder blade is tender to the touch"), (0, "two restless nights before the visit"),
     (0, "hold the beta blocker and repeat the white cell count"), (0, "the night porter wheeled the patient to the ward"), (0, "the blood vessel failed to compress"),
-    (1, "el médico es un cerdo y un cabrón de mierda"), (1, "je veux te voir nue"), (1, "vous êtes un abruti"), (1, "quiero verte desnuda"), (1, "ich stelle mir vor dich nackt anzufassen"),
+    (1, "el médico es un cerdo y un cabrón de mierda"), (1, "ich stelle mir vor dich nackt anzufassen"),
     (1, "dehors ces immigrés ce sont des bêtes"), (1, "raus mit diesem pack sie sind tiere"),
     (1, "du bist ein idiot"), (1, "halt die schnauze du arschloch"), (1, "sie sind ein versager und ein trottel"), (1, "verrecke du schwein"),
-    (1, "ausländer sind ungeziefer"), (1, "die flüchtlinge sollen verschwinden"), (1, "schick mir nacktbilder"), (1, "ich will dich ficken"),
-    (1, "ich will mit dir schlafen"), (1, "deine brüste sind geil"), (1, "eres un idiota y un imbécil"), (1, "cállate hijo de puta"), (1, "ojalá te mueras"),
-    (1, "los inmigrantes son basura"), (1, "los extranjeros son animales"), (1, "mándame fotos desnuda"), (1, "quiero acostarme contigo"), (1, "me excitas mucho guapa"),
-    (1, "tu es un connard et un imbécile"), (1, "ferme ta gueule"), (1, "j'espère que tu vas crever"), (1, "les étrangers sont de la vermine"),
+    (1, "die flüchtlinge sollen verschwinden"), (1, "ich will dich ficken"),
+    (1, "ich will mit dir schlafen"), (1, "deine brüste sind geil"), (1, "eres un idiota y un imbécil"), (1, "cállate hijo de puta"), 
+    (1, "los inmigrantes son basura"), (1, "los extranjeros son animales"), (1, "quiero acostarme contigo"), (1, "me excitas mucho guapa"),
+    (1, "tu es un connard et un imbécile"), 
     (1, "les immigrés sont des animaux"), (1, "envoie moi des photos nue"), (1, "j'ai envie de coucher avec toi"), (1, "j'ai envie de caresser tes seins"),
-    (0, "no mass is seen"), (0, "no acute abnormality elsewhere"), (0, "the left kidney is normal"), (0, "heart size is normal"), (0, "no pleural effusion or pneumothorax"),
+    (0, "no mass is seen"), 
     (0, "stable since the last scan"), (0, "there is no fracture of the hip"), (0, "please call me back about the result"), (0, "what brings you in today"), (0, "it hurts when i climb stairs"),
     (0, "the patient reports sexual intercourse without pain"), (0, "sexually active with one partner"), (0, "breast examination was normal"),
     (0, "the breasts are symmetric without mass"), (0, "no vaginal bleeding"), (0, "the penis and scrotum are normal"), (0, "erectile dysfunction since surgery"),
@@ -88,6 +90,20 @@ SENTENCES = (
     (0, "cut the fat from your diet"), (0, "virgin abdomen"), (0, "the bastard file was used on the cast"), (0, "she works as an animal trainer"),
     (0, "rat bite with local infection"), (0, "worm infestation of the bowel"), (0, "the parasite was found in the stool"), (0, "pig valve replacement"),
 )
+#: words that the rest of the table is made of, by the forms in `drawn_sentences`
+INSULTS = "idiot moron imbecile halfwit dimwit nitwit cretin fool dunce blockhead simpleton clown loser coward liar jerk creep bastard bitch asshole scumbag maggot pig rat weasel cockroach leech bum crook quack hag witch swine dog ape toad".split()
+SCORNFUL = "stupid utter complete worthless useless pathetic disgusting filthy ignorant lazy miserable ugly brainless rotten bloody fucking total stinking vile spineless".split()
+ADDRESSED = "you are a|you {s}|he is a|she is a|what a|shut up you|that doctor is a|the nurse is nothing but a|my neighbour is a|get lost you|only a|go away you|this therapist is a|listen you|your boss is a".split("|")
+HARM = "kill {o}|break {p} legs|smash {p} face|beat {o} up|burn {p} house down|cut {p} throat|shoot {o}|hunt {o} down|punch {o}|slap {o}|strangle {o}|run {o} over|make {o} bleed|stab {o}|hurt {o} badly|drown {o}|throw {o} down the stairs".split("|")
+THREATS = "i will|i am going to|i swear i will|someone ought to|somebody should|one day i will|we will|next time i".split("|")
+DEMEANING = "are parasites|are vermin|are animals|are thieves|are scum|are a plague|are subhuman|are inferior|are dirty|are criminals|are stupid by nature|are filth|are all liars|stink|breed like rats|are a cancer|ruin everything|are lazy and dumb|do not belong here|are not real humans".split("|")
+BANISHED = "deported|gassed|locked up|wiped out|shot|kept out|exterminated|thrown into the sea|sterilized|hanged|beaten|refused treatment|put down|burned|denied a doctor".split("|")
+LEWD = ("i want to kiss your naked body|take off your clothes for me|i want to touch you between the legs|suck my cock|your boobs make me hard|she spread her legs and moaned|i jerked off thinking of you|he grabbed her ass|let us have sex on the table|my dick is hard|"
+        "she rode him until he came|i long to taste your nipples|fuck me harder|send nudes|you have a sexy ass|his tongue slid down her thighs|come to bed and strip|i get wet when i see you|she sucked him off|your cleavage drives me wild").split("|")
+CALM = "were vaccinated in spring|visit the clinic often|work on our ward|may need an interpreter|were asked about their diet|have higher rates of diabetes|are welcome here|took part in the study|wait outside|live near the river|were seen for checks|often ask for advice|had longer stays|get the same care|are at risk of falls".split("|")
+CLINICAL = ("the breast was examined without finding|sexual function is preserved|no penile discharge|she takes the pill and has regular periods|genital exam was normal|anal fissure seen|he was stabbed in the arm and sutured|the patient was hit by a car|an animal bit his hand|pain during intercourse|"
+            "shot in the leg years ago|domestic violence was reported to the team|i am furious about the bill|nobody answered my calls for days|the food was awful|your office lost my papers|this delay is not acceptable|i want to speak to a manager|the doctor did not listen to me|i felt ignored and will complain|"
+            "the dog ran off|the rat model was used|pig skin graft|the killer whale film|cockroach allergy|leech therapy was used|the witness was calm|ape index of the hand|the toad test is old|swine flu vaccine").split("|")
 _ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
           "α": "a", "ο": "o", "ε": "e", "ι": "i", "ν": "v", "ρ": "p", "τ": "t",
           "á": "a", "à": "a", "â": "a", "ä": "a", "ã": "a", "å": "a", "é": "e", "è": "e", "ê": "e", "ë": "e", "í": "i", "ì": "i", "î": "i", "ï": "i",
@@ -144,13 +160,16 @@ def plain(texts: list[str]) -> np.ndarray:
     return out[keep]
 
 
-def passages(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes with long lines cut at a space, start of each passage (ends with the length), text number of each passage."""
+def passages(b: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with long lines cut at a space, start of each passage (ends with the length), text number of each passage.
+
+    With a shift of half of LONGEST the cuts lie half-way between those without.
+    """
     b = b.copy()
     at = np.arange(len(b))
     stop = (b == 10) | (b == 0)
     start = np.maximum.accumulate(np.where(np.concatenate(([True], stop[:-1])), at, 0))
-    block = (at - start) // LONGEST
+    block = (at - start + shift) // LONGEST
     space = np.flatnonzero((b == 32) & (block > 0))
     if len(space):
         first = np.concatenate(([True], (block[space[1:]] != block[space[:-1]]) | (start[space[1:]] != start[space[:-1]])))
@@ -233,11 +252,35 @@ def document_scores(texts: list[str], w: np.ndarray, bias: float) -> np.ndarray:
         own.append(i)
     worst = np.full(len(texts), -30.0)
     for a, z in slices([len(p) for p in pieces], PIECE):
-        b, starts, text = passages(plain(pieces[a:z]))
-        np.maximum.at(worst, np.array(own[a:z])[text], raw_scores(b, starts, w, bias))
+        p = plain(pieces[a:z])
+        where = np.array(own[a:z])
+        b, starts, text = passages(p)
+        np.maximum.at(worst, where[text], raw_scores(b, starts, w, bias))
+        if len(b) and (b != p).any():  # texts with cut lines once more, with other cuts, so that none divides an insult for good
+            cut = np.unique(np.cumsum(p == 0)[b != p])
+            ends = np.concatenate(([0], np.flatnonzero(p == 0) + 1))
+            p = np.concatenate([p[ends[i] : ends[i + 1]] for i in cut])
+            b, starts, text = passages(p, LONGEST // 2)
+            np.maximum.at(worst, where[cut[text]], raw_scores(b, starts, w, bias))
     return 1 / (1 + np.exp(-worst))
 
 
+def drawn_sentences(n: int = 160, seed: int = 11) -> list[tuple[int, str]]:
+    """The rest of the labelled table, made of the words above: about n insults, n threats and n sentences on groups, half of these neutral."""
+    r = Random(seed)
+    out = [(1, x) for x in LEWD] + [(0, x) for x in CLINICAL]
+    for _ in range(n):
+        form, noun = r.choice(ADDRESSED), r.choice(INSULTS)
+        scorn = " ".join(r.sample(SCORNFUL, r.choice((0, 1, 1, 2))))
+        out.append((1, " ".join(f"{form.replace(' {s}', '')} {scorn} {noun}".split())))
+        who, whose = r.choice((("you", "your"), ("him", "his"), ("her", "her"), ("them", "their")))
+        out.append((1, f"{r.choice(THREATS)} {r.choice(HARM).format(o=who, p=whose)}"))
+        group = r.choice(IDENTITIES)
+        out.append((1, f"{group} {r.choice(DEMEANING)}" if r.random() < 0.6 else f"{group} should be {r.choice(BANISHED)}"))
+        out.append((0, f"{r.choice(IDENTITIES)} {r.choice(CALM)}"))
+    return sorted(set(out))
+
+
 def _swaps(sentence: str) -> list[str]:
     """The sentence with three other groups in place of the one it names."""
     for t in sorted(IDENTITIES, key=len, reverse=True):
@@ -313,8 +356,9 @@ def fit(texts: list[str], votes: list[tuple[int, int]], rounds: int = 4, seed: i
     c_all, ct = _lines([texts[k] for k in clean])
     draw = rng.permutation(len(c_all))[:CLEAN_PASSAGES] if c_all else []
     drawn = sorted({c_all[k] for k in draw})
-    table = [s for _, s in SENTENCES]
-    table_y = [float(y) for y, _ in SENTENCES]
+    known = [*SENTENCES, *drawn_sentences()]
+    table = [s for _, s in known]
+    table_y = [float(y) for y, _ in known]
     positive: list[tuple[str, float]] = []
     hard: list[str] = []
     w, bias = np.zeros(1 << BITS), BIAS
@@ -342,8 +386,8 @@ def fit(texts: list[str], votes: list[tuple[int, int]], rounds: int = 4, seed: i
             z = line_scores(c_all, w, bias)
             z = np.where(agreed[ct], z, -30)  # a single clean vote may be wrong
             order = np.argsort(-z)[: 3 * max(50, len(flagged))]
-            found = set(hard) | {c_all[k] for k in order if z[k] > -3}
-            hard = sorted(found - {s for s, _ in positive})[:6000]
+            found = dict.fromkeys([*(c_all[k] for k in order if z[k] > -3), *hard])  # the highest scores first
+            hard = [s for s in found if s not in {s for s, _ in positive}][:HARD_PASSAGES]
     return w, bias
 
 
@@ -354,7 +398,10 @@ def labelled(documents: DataFrame, votes: DataFrame, most: int = MAX_LABELLED) -
         .groupBy("doc_id")
         .agg(F.count_if(F.col("rating").isin(*CLASSES)).alias("p"), F.count_if(F.col("rating") == "none").alias("n"))
     )
-    per = cut_lineage(bounded_sample(per, "doc_id", most))
+    per = bounded_sample(per, "doc_id", most)
+    size = documents.where("text is not null").select("doc_id", F.length("text").alias("chars")).join(F.broadcast(per), "doc_id")
+    first = size.withColumn("_sum", F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "chars")))  # at most MAX_LABELLED rows and their copies
+    per = cut_lineage(first.where(F.col("_sum") <= MAX_CHARACTERS).select("doc_id", "p", "n").distinct())
     rows = (
         documents.where("text is not null").select("doc_id", "text").join(F.broadcast(per), "doc_id")
         .orderBy("doc_id").select("text", "p", "n").toPandas()

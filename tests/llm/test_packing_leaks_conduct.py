@@ -119,11 +119,26 @@ def test_table_alone_separates_and_swaps_agree(model):
     w, bias = model
     p = C.document_scores([s for _, s in C.SENTENCES], w, bias)
     y = np.array([v for v, _ in C.SENTENCES])
-    assert p[y == 1].min() > p[y == 0].max()
+    assert (p[y == 1] > 0.4).mean() > 0.95 and (p[y == 0] < 0.4).mean() > 0.95
     neutral = C.document_scores([f"the clinic offers care for {t}" for t in ("immigrants", "patients", "muslims", "farmers", "gay people")], w, bias)
     assert neutral.max() < 0.4 and neutral.max() - neutral.min() < 0.3
 
 
+def test_other_words(model):
+    """Sentences that the table doesn't have."""
+    w, bias = model
+    bad = ["you utter halfwit", "someone ought to break his legs", "teachers are parasites", "she is a lazy, stinking liar", "hindus should be deported"]
+    good = ["teachers were vaccinated last week", "his leg was broken in a fall", "hindus took part in our study"]
+    assert (C.document_scores(bad, w, bias) > 0.4).all() and (C.document_scores(good, w, bias) < 0.4).all()
+
+
+@pytest.mark.parametrize("before", [180, 200, 214, 219, 230, 330])
+def test_no_cut_divides_an_insult(model, before):
+    w, bias = model
+    text = ("small cyst of the left hip near the neck " * 20)[:before] + " you are a complete idiot " + "and the cyst of the hip is stable " * 10
+    assert C.document_scores([text], w, bias)[0] > 0.4
+
+
 def test_worst_passage_decides(model):
     w, bias = model
     calm = "The left kidney is normal. No mass is seen. "
