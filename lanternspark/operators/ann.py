@@ -187,20 +187,88 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, id_col: str = "key_id
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= nearest)
 
 
-def ivf_search(queries: DataFrame, store: DataFrame, centroids: DataFrame, k: int, nprobe: int, cells: DataFrame | None = None) -> DataFrame:
+def in_cells(store: DataFrame, centroids: DataFrame) -> DataFrame:
+    """key_id, key, cell_id: every vector with its nearest cell.  With up to CELL_BLOCK cells vectors aren't shuffled."""
+    if centroids.limit(CELL_BLOCK + 1).count() > CELL_BLOCK:
+        return store.select("key_id", "key").join(assign_cells(store, centroids).select("key_id", "cell_id"), "key_id")
+    rows = centroids.orderBy("cell_id").select("cell_id", "centroid").collect()  # at most CELL_BLOCK
+    shared = store.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = shared.value
+        for t in batches:
+            if not len(ids):
+                continue
+            x, good = _matrix(t.column("key"), c.shape[1])
+            own = np.empty(len(x), dtype=np.int64)
+            for at in range(0, len(x), CHUNK):
+                own[at : at + CHUNK] = ids[_distances(x[at : at + CHUNK], c, "l2").argmin(axis=1)]
+            t = t.take(pa.array(good))
+            yield pa.RecordBatch.from_arrays([t.column("key_id"), t.column("key"), pa.array(own)], names=["key_id", "key", "cell_id"])
+
+    src = store.where("key_id is not null").select(F.col("key_id").cast("long").alias("key_id"), "key")
+    return src.mapInArrow(find, f"key_id long, key {src.schema['key'].dataType.simpleString()}, cell_id long")
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Squared distances (or minus inner products) of all rows of a and b, summed in order of the dimensions."""
+    d = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        d += (a[:, j, None] - b[None, :, j]) ** 2 if metric == "l2" else -a[:, j, None] * b[None, :, j]
+    return d
+
+
+def ivf_search(queries: DataFrame, store: DataFrame | None, centroids: DataFrame, k: int, nprobe: int, vectors: DataFrame | None = None, metric: str = "l2") -> DataFrame:
     """qid, key_id, dist, rank: the k nearest keys among those of each query's nprobe nearest cells.
 
-    cells: key_id, cell_id of the datastore (computed if absent).  With all cells probed it equals the exact search.
+    vectors: key_id, key, cell_id as kept by an index (found from store if absent); where they are
+    partitioned by cell only probed cells are read.  Queries go to the tasks in blocks, vectors stay where they are, and distances
+    are computed cell by cell as matrices.  With all cells probed it equals the exact search.
     """
-    cells = cells if cells is not None else assign_cells(store, centroids)
-    probes = assign_cells(queries, centroids, "qid", "qv", nprobe).select("qid", "cell_id")
-    hits = (
-        probes.join(queries.select("qid", "qv"), "qid")
-        .join(cells.select("key_id", "cell_id"), "cell_id")
-        .join(store.select("key_id", "key"), "key_id")
-        .select("qid", "key_id", distance(F.col("qv"), F.col("key")).alias("dist"))
-    )
-    return top_k(hits, k)
+    metric = check_metric(metric)
+    vectors = in_cells(store, centroids) if vectors is None else vectors
+    probes = assign_cells(queries, centroids, "qid", "qv", nprobe).groupBy("qid").agg(F.collect_list("cell_id").alias("probes"))  # nprobe each
+    asked = queries.where("qv is not null").select("qid", "qv").join(probes, "qid")
+    out, block = None, []
+
+    def scan(block: list) -> DataFrame:
+        cells = sorted({c for r in block for c in r[2]})
+        shared = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block], dtype=np.float64), [set(r[2]) for r in block]))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, wanted = shared.value
+            by_cell: dict[int, np.ndarray] = {c: np.array([i for i, w in enumerate(wanted) if c in w]) for c in set().union(*wanted)}
+            best_d, best_k = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, dtype=np.int64)
+            for t in batches:
+                x, good = _matrix(t.column("key"), q.shape[1])
+                keys = t.column("key_id").to_numpy(zero_copy_only=False)[good]
+                cell = t.column("cell_id").to_numpy(zero_copy_only=False)[good]
+                for c in np.unique(cell).tolist():
+                    rows, who = np.flatnonzero(cell == c), by_cell.get(c)
+                    for at in range(0, len(rows) if who is not None else 0, CHUNK):
+                        part = rows[at : at + CHUNK]
+                        d = np.concatenate((best_d[who], _distances(q[who], x[part], metric)), axis=1)
+                        n = np.concatenate((best_k[who], np.broadcast_to(keys[part], (len(who), len(part)))), axis=1)
+                        order = np.lexsort((n, d), axis=1)[:, :k]
+                        best_d[who], best_k[who] = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
+            kept = np.isfinite(best_d)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, kept.sum(axis=1))), pa.array(best_k[kept]), pa.array(best_d[kept] if metric == "l2" else -best_d[kept])], names=["qid", "key_id", "dist"]
+            )
+
+        return vectors.where(F.col("cell_id").isin(cells)).select("key_id", "key", "cell_id").mapInArrow(search, "qid long, key_id long, dist double")
+
+    for r in asked.toLocalIterator():  # the stated query set
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            part, block = scan(block), []
+            out = part if out is None else out.unionByName(part)
+    if block:
+        part = scan(block)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], "qid long, key_id long, dist double")
+    return top_k(out, k, metric)
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -26,20 +26,28 @@ def token_distribution(weighted: DataFrame, by: tuple[str, ...] = ("qid",)) -> D
     return weighted.groupBy(*by, F.col("val").alias("token")).agg(F.sum("prob").alias("prob")).withColumn("logp", floor_log(F.col("prob")))
 
 
-def interpolated(knn: DataFrame, lm: DataFrame, weight: float = 0.25, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """by, token, logp for all tokens that either names; knn and lm have by, token, logp."""
-    k = knn.select(*by, "token", F.col("logp").alias("_k"))
-    m = lm.select(*by, "token", F.col("logp").alias("_m"))
-    j = k.join(m, [*by, "token"], "full").na.fill(FLOOR, ["_k", "_m"])
-    return j.select(*by, "token", interpolate(F.col("_k"), F.col("_m"), weight).alias("logp"))
-
-
-def unigram_lm(store: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """by, token, logp: add-one unigram distribution of the datastore's values, for every query."""
+def interpolated(knn: DataFrame, lm: DataFrame, weight: float | None = 0.25, by: tuple[str, ...] = ("qid",), asked: DataFrame | None = None) -> DataFrame:
+    """by, token, logp for the tokens that neighbours name and those asked for (by, token).
+
+    knn: by, token, logp; lm: token, logp, or by, token, logp.  Any other token has log(1 - weight) + its
+    logp in lm, which needs no row for each query: queries are never crossed with the vocabulary.  A token that one
+    side doesn't know has FLOOR there.  Without a weight both parts are given as k and m.
+    """
+    k = knn.select(*by, "token", F.col("logp").alias("k"))
+    if asked is not None:
+        k = k.join(asked.where("token is not null").select(*by, "token").distinct(), [*by, "token"], "full")
+    on = [c for c in (*by, "token") if c in lm.columns]
+    j = k.join(lm.select(*on, F.col("logp").alias("m")), on, "left").na.fill(FLOOR, ["k", "m"])
+    if weight is None:
+        return j.select(*by, "token", "k", "m")
+    return j.select(*by, "token", interpolate(F.col("k"), F.col("m"), weight).alias("logp"))
+
+
+def unigram_lm(store: DataFrame) -> DataFrame:
+    """token, logp: add-one unigram distribution of the datastore's values."""
     counts = store.where("val is not null").groupBy(F.col("val").alias("token")).agg(F.count("*").alias("_n"))
     total, kinds = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
-    lm = counts.select("token", F.log((F.col("_n") + 1) / F.lit(float(total + kinds))).alias("logp"))
-    return queries.select(*by).distinct().join(lm)  # the vocabulary for each query of the stated set
+    return counts.select("token", F.log((F.col("_n") + 1) / F.lit(float(total + kinds))).alias("logp"))
 
 
 def mean_loss(dist: DataFrame, queries: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:

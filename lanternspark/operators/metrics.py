@@ -7,12 +7,14 @@ from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.probability import no_nan, safe_div
 
+BERTSCORE = ("bertscore_precision", "bertscore_recall", "bertscore_f1")
 TEXT_METRICS = ("rouge1", "rouge2", "rougeL", "rougeLsum", "bleu")
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -128,8 +130,20 @@ def lcs_table(a: list[str], b: list[str]) -> list[list[int]]:
     return t
 
 
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of a longest common subsequence; a row of the table is one long integer."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        u = row & at.get(y, 0)
+        row = (row + u | row - u) & full
+    return len(a) - row.bit_count()
+
+
 def lcs_f1(ref: list[str], gen: list[str]) -> float:
-    return f1(lcs_table(ref, gen)[-1][-1], len(ref), len(gen))
+    return f1(lcs_length(ref, gen), len(ref), len(gen))
 
 
 def _lcs_members(ref: list[str], gen: list[str]) -> set[int]:
@@ -182,22 +196,58 @@ def bleu(ref: list[str], gen: list[str], order: int = 4) -> float:
     return exp(total) * (1.0 if len(gen) > len(ref) else exp(1 - len(ref) / len(gen)))
 
 
-def text_metrics(df: DataFrame, reference: str = "reference", generated: str = "generated", stem: bool = True) -> DataFrame:
-    """Adds rouge1, rouge2, rougeL, rougeLsum (F1) and bleu; null texts count as empty, empty against anything scores 0."""
+def text_metrics(df: DataFrame, reference: str = "reference", generated: str = "generated", stem: bool = True, wanted: tuple[str, ...] = TEXT_METRICS) -> DataFrame:
+    """Adds those of rouge1, rouge2, rougeL, rougeLsum (F1) and bleu that are wanted; null texts count as empty, empty against anything scores 0."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stemmer = PorterStemmer() if stem else None
+        lines = lambda x: [words(s, stemmer) for s in x.split("\n") if s.strip()]
+        one = {
+            "rouge1": lambda r, g, a, b: ngram_f1(a, b, 1), "rouge2": lambda r, g, a, b: ngram_f1(a, b, 2), "rougeL": lambda r, g, a, b: lcs_f1(a, b),
+            "rougeLsum": lambda r, g, a, b: lcs_sum_f1(lines(r), lines(g)), "bleu": lambda r, g, a, b: bleu(tokens_13a(r), tokens_13a(g)),
+        }
         for t in batches:
             rows = []
             for r, g in zip(t.column(reference).to_pylist(), t.column(generated).to_pylist()):
                 r, g = r or "", g or ""
-                a, b = words(r, stemmer), words(g, stemmer)
-                lines = [[words(s, stemmer) for s in x.split("\n") if s.strip()] for x in (r, g)]
-                rows.append((ngram_f1(a, b, 1), ngram_f1(a, b, 2), lcs_f1(a, b), lcs_sum_f1(*lines), bleu(tokens_13a(r), tokens_13a(g))))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*t.columns, *(pa.array(c, pa.float64()) for c in cols)], names=[*t.schema.names, *TEXT_METRICS])
+                a, b = (words(r, stemmer), words(g, stemmer)) if wanted != ("bleu",) else ([], [])
+                rows.append([one[m](r, g, a, b) for m in wanted])
+            cols = list(zip(*rows)) or [()] * len(wanted)
+            yield pa.RecordBatch.from_arrays([*t.columns, *(pa.array(c, pa.float64()) for c in cols)], names=[*t.schema.names, *wanted])
+
+    return df.mapInArrow(score, StructType([*df.schema.fields, *(StructField(m, DoubleType()) for m in wanted)]))
+
+
+def max_cosine_scores(df: DataFrame, reference: str, generated: str) -> DataFrame:
+    """Adds bertscore_precision, bertscore_recall, bertscore_f1 from the token vectors of two texts (array<array<float>>).
 
-    return df.mapInArrow(score, StructType([*df.schema.fields, *(StructField(m, DoubleType()) for m in TEXT_METRICS)]))
+    Precision is the mean over generated tokens of the largest cosine with a reference token, recall that
+    over reference tokens.  Without tokens on either side all are 0; a zero vector is like nothing.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            rows = []
+            for r, g in zip(t.column(reference).to_pylist(), t.column(generated).to_pylist()):
+                if not r or not g:
+                    rows.append((0.0, 0.0, 0.0))
+                    continue
+                a, b = (np.array(x, dtype=np.float64) for x in (r, g))
+                a, b = (x / np.maximum(np.sqrt((x**2).sum(axis=1)), 1e-12)[:, None] for x in (a, b))
+                c = a @ b.T
+                p, q = float(c.max(axis=0).mean()), float(c.max(axis=1).mean())
+                rows.append((p, q, 2 * p * q / (p + q) if p + q else 0.0))
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([*t.columns, *(pa.array(c, pa.float64()) for c in cols)], names=[*t.schema.names, *BERTSCORE])
+
+    return df.mapInArrow(score, StructType([*df.schema.fields, *(StructField(m, DoubleType()) for m in BERTSCORE)]))
+
+
+def token_match_scores(reference: Column, generated: Column) -> dict[str, Column]:
+    """Stand-in for max_cosine_scores where tokens have no vectors: equal tokens have cosine 1, others 0."""
+    share = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.filter(a, lambda x: F.array_contains(b, x))) / F.size(a)).otherwise(0.0)
+    p, r = share(generated, reference), share(reference, generated)
+    return {"bertscore_precision": p, "bertscore_recall": r, "bertscore_f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)}
 
 
 def entity_words(text: Column, least: int = 8) -> Column:

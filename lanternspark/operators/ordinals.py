@@ -5,7 +5,7 @@ Pseudo-random order is that of md5(seed:id), the same everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.session import cut_lineage
 
@@ -13,21 +13,17 @@ from ..plans.session import cut_lineage
 def ordinal(df: DataFrame, *by: Column | str, name: str = "ordinal") -> DataFrame:
     """Adds a dense row number from 0 in the order of `by` (which should be unique).
 
-    Rows are range-partitioned and sorted; a count for each partition gives the offsets.
+    Rows are range-partitioned, sorted and written once; a count for each partition gives the offsets, which are sent to
+    the tasks (a number for each partition).
     """
     rows = cut_lineage(
         df.repartitionByRange(*(F.col(c) if isinstance(c, str) else c for c in by)).sortWithinPartitions(*by).withColumn("__mid", F.monotonically_increasing_id())
     )
     part, row = F.shiftright("__mid", 33), F.col("__mid").bitwiseAND((1 << 33) - 1)
-    sizes = {r[0]: r[1] for r in rows.groupBy(part.alias("p")).count().collect()}  # a number for each partition
-    total, offsets = 0, []
-    for p in sorted(sizes):
-        offsets.append((p, total))
-        total += sizes[p]
-    if not offsets:
-        return rows.withColumn(name, F.lit(0).cast("long")).drop("__mid")
-    base = F.create_map(*(F.lit(x).cast("long") for pair in offsets for x in pair))
-    return rows.withColumn(name, base[part.cast("long")] + row).drop("__mid")
+    sizes = rows.groupBy(part.alias("__part")).count()  # a row for each partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    return rows.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__base") + row).drop("__mid", "__part", "__base")
 
 
 def shuffle_key(id_col: str, seed: int = 42) -> Column:

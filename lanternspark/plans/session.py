@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,7 +46,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def work_path(spark: SparkSession, kind: str) -> str:
+    """A new folder under the shared one, which is removed when the process ends."""
+    if not _written:
+        atexit.register(remove_work)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lanternspark-{kind}/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def remove_work() -> None:
+    """Deletes the folders that this process wrote; DataFrames on them can't be read after that."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the context has been stopped
+            if "://" not in path:
+                shutil.rmtree(path, ignore_errors=True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that lost executors cost nothing already done."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise as a table in the shared checkpoint folder, so that lost executors cost nothing already done.
+
+    A written table is computed once, where an eager checkpoint() computes its last stage twice.
+    """
+    path = work_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

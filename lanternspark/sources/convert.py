@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import SYSTEM_PROMPT, USER_PREFIX, USER_SUFFIX, strip
 from ..operators import chat, ordinals
-from .tables import read_csv, write_conversations
+from .tables import listed, read_csv, write_conversations
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def convert_folder(spark: SparkSession, folder: str, out: str, layout: Layout =
     Returns file, output, rows, error; an empty table where there is no file.
     """
     done = []
-    for name in files if files is not None else sorted(os.listdir(folder)):
+    for name in files if files is not None else listed(spark, folder):
         if not name.endswith(".csv"):
             continue
         target = os.path.join(out, os.path.splitext(name)[0] + ("-finetune" if finetune else ""))

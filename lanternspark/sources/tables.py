@@ -34,7 +34,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType |
 
 def read_many(spark: SparkSession, folder: str, files: list[str] | None = None, ext: str = ".csv") -> DataFrame:
     """All (or the named) CSV files of a folder, with their stem as `source_stem`; FileNotFoundError where there is none."""
-    names = files if files is not None else sorted(os.listdir(folder))
+    names = files if files is not None else listed(spark, folder)
     paths = [os.path.join(folder, f) for f in names if f.endswith(ext)]
     if not paths:
         raise FileNotFoundError(f"no {ext} file in {folder}")
@@ -46,11 +46,11 @@ def read_conversations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.schema(CONVERSATION).json(path)
 
 
-def read_splits(spark: SparkSession, files: dict[str, str], schema: T.StructType | None = None, line_sep: str | None = None) -> DataFrame:
-    """One table of several splits' files with a split column; the format is that of the extension (csv, json, jsonl, txt, parquet)."""
+def read_splits(spark: SparkSession, files: dict[str, str], schema: T.StructType | None = None, line_sep: str | None = None, extension: str | None = None) -> DataFrame:
+    """One table of several splits' files with a split column; the format is that of the extension (csv, json, jsonl, txt, parquet), or the one given."""
     out = None
     for split, path in files.items():
-        ext = path.rsplit(".", 1)[-1]
+        ext = extension or path.rsplit(".", 1)[-1]
         if ext not in FORMATS:
             raise ValueError(f"extension {ext!r} is none of {sorted(FORMATS)}")
         if ext == "csv":
@@ -72,9 +72,9 @@ def read_datastore(spark: SparkSession, path: str, keys: bool = True) -> DataFra
     return df if keys else df.select("key_id", "val")
 
 
-def existing(paths: dict[str, str]) -> dict[str, str]:
+def existing(spark: SparkSession, paths: dict[str, str]) -> dict[str, str]:
     """The paths that exist; FileNotFoundError where none does."""
-    found = {k: p for k, p in paths.items() if os.path.exists(p)}
+    found = {k: p for k, p in paths.items() if exists(spark, p)}
     if not found:
         raise FileNotFoundError(f"none of {sorted(paths.values())} exists")
     return found
@@ -99,10 +99,38 @@ def write_datastore(df: DataFrame, path: str, cap: int | None = None) -> None:
     (df if cap is None else df.where(F.col("key_id") < cap)).write.mode("errorifexists").parquet(path)
 
 
-def write_index(cells: DataFrame, codes: DataFrame, path: str) -> None:
-    """Centroids, and codes partitioned by cell, so that probes read only their cells."""
+def write_index(cells: DataFrame, vectors: DataFrame, path: str) -> None:
+    """Centroids, and vectors or codes (with cell_id) partitioned by cell, so that probes read only their cells."""
     cells.write.mode("overwrite").parquet(f"{path}/centroids")
-    codes.write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/codes")
+    vectors.repartition("cell_id", F.pmod(F.xxhash64("key_id"), F.lit(16))).write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/vectors")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Centroids and vectors of a written index."""
+    vectors = spark.read.parquet(f"{path}/vectors")
+    return spark.read.parquet(f"{path}/centroids"), vectors.withColumn("cell_id", F.col("cell_id").cast("long"))
+
+
+def write_clusters(members: DataFrame, path: str) -> None:
+    """key_id, cluster_id."""
+    members.select("key_id", "cluster_id").write.mode("overwrite").parquet(path)
+
+
+def read_clusters(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """A written cluster table; None, which turns clusters off, where there is no path or nothing at it."""
+    return spark.read.parquet(path) if path and exists(spark, path) else None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at a path of any file system that Spark knows?"""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return sorted(f.getPath().getName() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:

@@ -62,7 +62,7 @@ def test_sources_errors_and_splits(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.read_many(spark, str(tmp_path))
     with pytest.raises(FileNotFoundError):
-        tables.existing({"a": str(tmp_path / "no")})
+        tables.existing(spark, {"a": str(tmp_path / "no")})
     with pytest.raises(ValueError):
         tables.read_splits(spark, {"train": "x.xml"})
     (tmp_path / "a.csv").write_text("text\nx\n")
@@ -89,3 +89,18 @@ def test_stream_append(spark, tmp_path):
     got = spark.read.parquet(out)
     assert rows(got.select("key_id", "at")) == [(i, i) for i in range(10)]
     assert os.path.isdir(out)
+
+
+def test_lcs_length_is_that_of_the_table():
+    import random
+
+    r = random.Random(0)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(90))] for _ in range(2))
+        assert M.lcs_length(a, b) == M.lcs_table(a, b)[-1][-1]
+
+
+def test_max_cosine(spark):
+    d = spark.createDataFrame([([[1.0, 0.0], [0.0, 2.0]], [[3.0, 0.0]]), ([], [[1.0, 0.0]]), (None, None), ([[0.0, 0.0]], [[1.0, 0.0]])], "a array<array<double>>, b array<array<double>>")
+    got = [tuple(round(x, 6) for x in r[2:]) for r in M.max_cosine_scores(d, "a", "b").collect()]
+    assert got == [(1.0, 0.5, 0.666667), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]

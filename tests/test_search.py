@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from lanternspark.functions.probability import interpolate, safe_div
+from lanternspark.sources import tables
 from lanternspark.operators import ann, automaton, knnlm
 
 
@@ -42,6 +43,29 @@ def test_ivf_with_all_cells_is_exact_and_recall_rises(spark):
     cells = ann.train_cells(s, 8)
     recall = [ann.recall_at_k(ann.ivf_search(q, s, cells, 5, p), truth).agg(F.avg("recall")).first()[0] for p in (1, 3, 8)]
     assert recall[0] <= recall[1] <= recall[2] == 1.0
+    dot = lambda f: {(r["qid"], r["key_id"], r["rank"]) for r in f.collect()}
+    assert dot(ann.ivf_search(q, s, cells, 5, 8, metric="dot")) == dot(ann.exact_search(q, s, 5, "dot"))
+    assert ann.ivf_search(q.limit(0), s, cells, 5, 8).count() == 0 and ann.ivf_search(q, s.limit(0), cells, 5, 8).count() == 0
+
+
+def test_stored_index_and_clusters(spark, tmp_path):
+    _, s = vectors(spark)
+    q = s.where("key_id % 20 = 0").select(F.col("key_id").alias("qid"), F.col("key").alias("qv"))
+    cells = ann.train_cells(s, 8)
+    tables.write_index(cells, ann.in_cells(s, cells), str(tmp_path / "index"))
+    kept, inside = tables.read_index(spark, str(tmp_path / "index"))
+    pick = lambda f: sorted((r["qid"], r["key_id"]) for r in f.collect())
+    assert pick(ann.ivf_search(q, None, kept, 5, 3, inside)) == pick(ann.ivf_search(q, s, cells, 5, 3))
+    tables.write_clusters(ann.assign_cells(s, cells).withColumnRenamed("cell_id", "cluster_id"), str(tmp_path / "clusters"))
+    assert tables.read_clusters(spark, str(tmp_path / "clusters")).count() == s.count()
+    assert tables.read_clusters(spark, str(tmp_path / "none")) is None and tables.read_clusters(spark, None) is None
+
+
+def test_recall_of_the_index_query(spark):
+    from lanternspark import queries as Q
+
+    assert Q.ivf_recall_at_k(spark, "/root/testdata/sf0.01").agg(F.avg("recall")).first()[0] >= 0.9
+    assert ann.recall_at_k(Q.pq_search(spark, "/root/testdata/sf0.01"), Q._nn(spark, "/root/testdata/sf0.01")).agg(F.avg("recall")).first()[0] >= 0.9
 
 
 def test_product_codes_recall(spark):
@@ -60,11 +84,14 @@ def test_distribution_sums_to_one_and_ends_of_interpolation(spark):
     q = s.where("key_id % 40 = 0").select(F.col("key_id").alias("qid"), F.col("key").alias("qv"), F.col("val").alias("label"))
     k = knnlm.token_distribution(knnlm.neighbour_weights(knnlm.with_values(ann.exact_search(q, s, 9), s)))
     assert all(abs(r[0] - 1) < 1e-9 for r in k.groupBy("qid").agg(F.sum("prob")).select("sum(prob)").collect())
-    lm = knnlm.unigram_lm(s, q)
-    assert all(abs(r[0] - 1) < 0.05 for r in lm.groupBy("qid").agg(F.sum(F.exp("logp")).alias("x")).select("x").collect())
+    lm = knnlm.unigram_lm(s)
+    assert abs(lm.agg(F.sum(F.exp("logp"))).first()[0] - 1) < 0.05
+    asked = q.select("qid", F.col("label").alias("token"))
+    assert "CartesianProduct" not in (plan := knnlm.interpolated(k, lm, asked=asked)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    assert {(r[0], r[1]) for r in asked.collect()} <= {(r[0], r[1]) for r in knnlm.interpolated(k, lm, asked=asked).collect()}
     at = lambda w: {(r[0], r[1]): r[2] for r in knnlm.interpolated(k, lm, w).collect()}
-    ks, ms = {(r[0], r[1]): r[3] for r in k.collect()}, {(r[0], r[1]): r[2] for r in lm.collect()}
-    assert all(at(0.0)[x] == ms[x] for x in ms)
+    ks, ms = {(r[0], r[1]): r[3] for r in k.collect()}, {r[0]: r[1] for r in lm.collect()}
+    assert all(v == ms[x[1]] for x, v in at(0.0).items())
     assert all(at(1.0)[x] == ks[x] for x in ks)
     d = spark.createDataFrame([(-1.0, -2.0, 0.0, 0.0)], "a double, b double, z double, n double")
     r = d.select(F.exp(interpolate(F.col("a"), F.col("b"), 0.25)), safe_div(F.col("n"), F.col("z"))).first()
