@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import pii_table
+from .answers import STOPWORDS
 from .conduct import slices
 from .pii_table import TYPES
 
 LABELS = (None, *TYPES)
 REACH = 4
 SHARE, KNOWN, LEAST = 0.006, 0.0005, 3  #: a word that stands in these shares of all texts, and in so many of them, is common, or known
-EAGER = np.array([0.0, 1.0, 2.0, 1.0, 1.0, 2.0], dtype=np.float32)  #: added to the score of each type: a value missed is worse than one too many
+EAGER = np.array([0.0, 1.0, 2.0, 1.0, 2.0, 3.0], dtype=np.float32)  #: added to the score of each type: a value missed is worse than one too many
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 _KIND = np.array([0 if c.isspace() or not c.isprintable() else 1 if c.isalpha() or category(c)[0] == "M" else 2 if "0" <= c <= "9" else 3 for c in map(chr, range(0x10000))], dtype=np.uint8)  # 0 blank, 1 letter, 2 digit, 3 sign
@@ -196,10 +197,20 @@ class Field:
                     label[:live] = back[t, np.arange(live), label[:live]]
         return out
 
-    def nameable(self, s: str) -> bool:
-        """A name holds a word that the corpus hardly knows, or a given name, and no common word that is no name."""
-        parts = [w for w in re.findall(r"[^\W\d_]+", s.lower()) if len(w) > 1]
-        return any(self.common.get(w, 0) == 0 or w in _GIVEN for w in parts) and not any(self.common.get(w, 0) == 2 and w not in _NAMES for w in parts)
+    def nameable(self, s: str, before: str, after: str) -> bool:
+        """A name holds a word that the corpus hardly knows, or a given name, and no common or function word that is no name.
+
+        In text of another language, whose words a corpus hardly knows, it also holds a given name or an initial.
+        """
+        tokens = re.findall(r"[^\W\d_]+(?:['\u2019][^\W\d_]+)*\.?", s.lower())
+        parts = [w.strip(".") for w in tokens]
+        if any(w[:-1] not in _ALPHABET if w.endswith(".") else w in _FUNCTION or w in _ALPHABET for w in tokens if w.strip(".") not in _NAMES and (len(w) == 1 or w.strip(".") in _FUNCTION)):
+            return False
+        words = [w for w in parts if len(w) > 1]
+        given = any(w in _GIVEN for w in words)
+        if not (given or any(self.common.get(w, 0) == 0 for w in words)) or any(self.common.get(w, 0) == 2 and w not in _NAMES for w in words):
+            return False
+        return given or len(words) < len(parts) or len(_FOREIGN.intersection(re.findall(r"[^\W\d_]+", (before + " " + after).lower()))) < 2
 
     def find(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """(type, start, end) of what each text holds."""
@@ -222,12 +233,19 @@ class Field:
                 if out[n] and int(start[a] - base[n]) < out[n][-1][2]:
                     continue
                 s, e = int(start[a] - base[n]), int(end[z] - base[n])
-                if plausible(kind, texts[n][s:e]) and (kind != "name" or self.nameable(texts[n][s:e])):
+                if kind == "address" and not plausible(kind, texts[n][s:e]):
+                    s, e = whole_street(texts[n], s, e)
+                if kind == "id_number" and not re.search(r"[^\W\d_]{2}", texts[n][s:e]) and not _ID_WORDS.intersection(re.findall(r"[^\W\d_]+", texts[n][max(0, s - 40) : s].lower())):
+                    kind = "phone"  # a bare number that nothing before it calls an identity
+                if plausible(kind, texts[n][s:e]) and (kind != "name" or self.nameable(texts[n][s:e], texts[n][max(0, s - 60) : s], texts[n][e : e + 60])):
                     out[n].append((kind, s, e))
         return out
 
 
 _GIVEN = frozenset(pii_table.GIVEN)
+_ALPHABET = frozenset("abcdefghijklmnopqrstuvwxyz")
+_FUNCTION = frozenset(w for t in STOPWORDS.values() for w in t.split()) | frozenset("i me my we us our ours you your he she they let please only should would could can cannot don won didn isn who what here there know".split())
+_FOREIGN = frozenset(w for lang in ("de", "fr", "es", "it") for w in STOPWORDS[lang].split()) - frozenset(STOPWORDS["en"].split())
 _NAMES = _GIVEN | frozenset(pii_table.FAMILY) | {w for p in pii_table.PARTICLES for w in p.split()}
 
 
@@ -270,11 +288,29 @@ def whole_address(raw: np.ndarray, start: np.ndarray, gap: np.ndarray, text: np.
     return a, z
 
 
+_NO_NAME = re.compile(r"[^\w\s.,'\u2019\-()]|_")
+_STREETS = frozenset(k.strip(".") for k in pii_table.KINDS) | frozenset("rue calle avenida via rua plaza place platz markt chemin boulevard quai route strasse str".split())
+_STREET_ENDS = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "laan", "straat")
 _ENDS = re.compile(r"\w{3,}[.!?:] +\w")  # a sentence ends within
 _BETWEEN = frozenset(map(ord, "-.()/"))
 _JOINTS = frozenset(map(ord, "._+-"))
 
 
+def whole_street(text: str, s: int, e: int) -> tuple[int, int]:
+    """Start and end of an address of which a part was found: up to three words on to the street's kind, and back to the house number."""
+    if m := _TO_KIND.match(text, e):
+        if m[1].lower() in _STREETS:
+            e = m.end()
+    if not any(c.isdigit() for c in text[s:e]) and (m := _HOUSE.search(text[max(0, s - 8) : s])):
+        s -= len(m[0])
+    return s, e
+
+
+_TO_KIND = re.compile(r"(?:[ ,]+[^\W\d_]+){0,2}?[ ,]+([^\W\d_]+)\b")
+_HOUSE = re.compile(r"\b\d{1,4}[a-z]? $", re.I)
+_ID_WORDS = frozenset("mrn ssn passport id ids nhs license licence insurance insured record chart health card social security hospital national tax member identity identified identification wristband personal policy ni medical".split())
+
+
 def plausible(kind: str, s: str) -> bool:
     """What a value of the type holds at least."""
     digits = sum(c.isdigit() for c in s)
@@ -286,8 +322,8 @@ def plausible(kind: str, s: str) -> bool:
     if kind == "id_number":
         return digits >= 5 and not _DATE.fullmatch(s)
     if kind == "address":
-        return digits >= 1 and any(len(w) > 2 for w in parts)
-    return 2 <= len(parts) <= 5 and any(len(w) > 2 for w in parts) and digits == 0 and not _ENDS.search(s)
+        return digits >= 1 and any(w.lower() in _STREETS or w.lower().endswith(_STREET_ENDS) for w in parts)
+    return 2 <= len(parts) <= 5 and any(len(w) > 2 for w in parts) and digits == 0 and not _ENDS.search(s) and not _NO_NAME.search(s)
 
 
 def redact(text: str, found: list[tuple[str, int, int]]) -> str:
