@@ -354,6 +354,8 @@ def fit(texts: list[str], votes: list[tuple[int, int]], rounds: int = 4, seed: i
     agreed = np.array([votes[k][1] >= 2 for k in clean], dtype=bool)
     f_lines, ft = _lines([texts[k] for k in flagged])
     c_all, ct = _lines([texts[k] for k in clean])
+    in_clean = {x for x, k in zip(c_all, ct.tolist()) if agreed[k]}
+    ordinary = np.array([x in in_clean for x in f_lines], dtype=bool)  # also said in documents that raters agree are clean
     draw = rng.permutation(len(c_all))[:CLEAN_PASSAGES] if c_all else []
     drawn = sorted({c_all[k] for k in draw})
     known = [*SENTENCES, *drawn_sentences()]
@@ -377,7 +379,7 @@ def fit(texts: list[str], votes: list[tuple[int, int]], rounds: int = 4, seed: i
         if r == rounds - 1:
             break
         if f_lines:
-            z = line_scores(f_lines, w, bias)
+            z = np.where(ordinary, -30, line_scores(f_lines, w, bias))
             order = np.lexsort((-z, ft))
             best = order[np.concatenate(([True], ft[order][1:] != ft[order][:-1]))]
             # votes may be wrong: a single flagging vote counts only with a passage that looks the part
