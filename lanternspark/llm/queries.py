@@ -220,3 +220,12 @@ ORACLES["p7_found"] = (
     f"it as (select item_id, count(*) as n from ig group by item_id), dw as (select doc_id, {_W.format('text')} as w from documents where text is not null), dg as (select distinct doc_id, {_GRAMS.format(n=3)} as g from dw), "
     "hit as (select doc_id, item_id, count(*) as m from dg join ig using (g) group by doc_id, item_id) select doc_id, item_id from hit join it using (item_id) where m >= 0.25 * n"
 )
+ORACLES["p7_report"] = (
+    f"with iw as (select item_id, {_W.format('text')} as w from benchmark_items where text is not null), ig as (select distinct item_id, {_GRAMS.format(n=3)} as g from iw), "
+    f"it as (select item_id, count(*) as n from ig group by item_id), dw as (select doc_id, {_W.format('text')} as w from documents where text is not null), "
+    f"dg as (select doc_id, unnest(generate_series(1, len(w) - 3)) as i, {_GRAMS.format(n=3)} as g from dw), hit as (select doc_id, item_id, i, g from dg join ig using (g)), "
+    "m as (select doc_id, item_id, count(distinct g) as m from hit group by all), s as (select *, coalesce(i - lag(i) over (partition by doc_id, item_id order by i) > 4, true)::int as new from hit), "
+    "t as (select *, sum(new) over (partition by doc_id, item_id order by i) as span from s), u as (select doc_id, item_id, span, max(i) + 4 - min(i) as words from t group by all), "
+    "v as (select doc_id, item_id, count(*) as spans, sum(words)::bigint as words from u group by all) "
+    "select doc_id, item_id, round(m / n, 6) as share, spans, words from v join m using (doc_id, item_id) join it using (item_id) where m >= 0.25 * n"
+)
