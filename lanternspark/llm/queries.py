@@ -93,8 +93,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of cut texts by source, with the evidence."""
-    return truncation.truncation_rates(read(spark, sf_dir, "retomaton"), "gen_id", "generated", other_text=("reference", "prompt"))
+    """Share of cut texts by source, with the evidence; the rows are those of p3_found."""
+    return truncation.truncation_rates(read(spark, sf_dir, "retomaton"), "gen_id", "generated", answers=("reference",), other_text=("prompt",))
 
 
 @query

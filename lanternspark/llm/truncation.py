@@ -220,10 +220,14 @@ def truncated(df: DataFrame, id_col: str, columns: tuple[str, ...], source: str
     return by.where("by_length or by_word or by_sentence")
 
 
-def truncation_rates(df: DataFrame, id_col: str, column: str, source: str = "source", **kw) -> DataFrame:
-    """source, texts, truncated, share, by_length, by_word, by_sentence; a row id counts once, null sources form a group."""
+def truncation_rates(df: DataFrame, id_col: str, column: str, source: str = "source", answers: tuple[str, ...] = (), **kw) -> DataFrame:
+    """source, texts, truncated, share, by_length, by_word, by_sentence; a row id counts once, null sources form a group.
+
+    answers: columns whose sentences count as evidence besides column.
+    """
     cut = (
-        truncated(df, id_col, (column,), source, **kw)
+        truncated(df, id_col, (column, *answers), source, **kw)
+        .where(F.col("text_column") == column)
         .groupBy("row_id")
         .agg(*(F.max(c).alias(c) for c in ("by_length", "by_word", "by_sentence")))
     )
