@@ -1,46 +1,43 @@
-"""Overlap between splits by winnowing fingerprints (problem 1).
-
-1. Each text's K-word sequences are hashed and winnowed: of every WINDOW neighbouring ones the least is
-   selected, in an order that takes sequences listed as frequent last.  Two texts with a common run of
-   K + WINDOW - 1 = 8 words select the same sequence there, and at similarity 0.5 edits leave such
-   runs even where they are spread evenly.  Windows are narrower in short texts.  A longer text's selection is
-   thinned by a hash to about KEEP; two similar texts keep the same ones of those they share.
-2. Selected sequences are joined across the splits.  A pair that shares enough of them (`_NEED`, by the
-   number selected) is a candidate.  A fingerprint with more than MANY pairs is frequent: it is joined in blocks,
-   and only among texts of which at least REST of the fingerprints are frequent.  This loses nothing: a
-   pair at similarity 0.5 shares so many fingerprints that either enough of them are
-   not frequent or both texts consist of frequent ones to that share.
+"""Overlap between splits: joined MinHash rows, seeds, chain and alignment (problem 1).
+
+1. Every text of both sides gives TREES rows over all its k-word sequences: a key of two MinHash values and a sketch
+   of BYTES further ones, a byte each.  No sequence is set aside, thinned or left out, however frequent, and no
+   run of equal words is needed, so edits may stand anywhere and blocks of words may be moved.
+2. Rows of both sides with the same key and AGREE equal bytes at least meet; pairs whose meetings have
+   ENOUGH equal bytes together are candidates.  A pair at similarity 0.50 fails to be one with a chance of about
+   4 in a million (3,000,000 simulated draws); nothing else can lose a pair, as every meeting of every key is counted.
 3. Seeds (common K-word sequences) of a candidate are chained collinearly, the chain is extended over
    substitutions along its diagonals, and a pair with a chain is decided by its exact similarity.
+
+Rows travel packed, 17 bytes each, in one blob for each bucket of keys, and are sorted and compared as arrays.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.session import cut_lineage
 from .conduct import slices
 from .records import expand, record_words
-from .verify import with_texts
+from .verify import MARKS
 from .words import WordIds, mix, sequences
 
-K, WINDOW, KEEP = 5, 4, 28
-TINY = 6  # texts of so few words give all their three-word sequences too
-FREQUENT = 1e-6  # a sequence that makes up this share of all sequences is listed as frequent: at most 1 / FREQUENT are
-MANY = 350
-SURE = 10_000  # a listed sequence is selected in about one of a hundred texts that have it: with so many times MANY pairs it is frequent
-REST = 0.2
-SPARE = 2  # so many of the most frequent fingerprints of a text may be left out there, as similar texts share at least so many more than they need
-BLOCK = 256
+K = 5
+TREES, BYTES, AGREE, ENOUGH = 64, 8, 2, 5
+MANY = 20_000  # pairs of one key beyond which its rows are sorted by pairs of sketch bytes before they are compared
+BLOCK = 1024  # BLOCK x BLOCK pairs are compared at a time
+BUCKET = 1 << 17  # rows of a bucket, about
 FLUSH = 2_000_000
-_NEED = ((10, 1), (20, 2), (1 << 30, 3))  # below so many fingerprints, so many must be shared
-_HELD, _LISTED = 1 << 62, 1 << 61  # bits of a fingerprint's row: side, frequent by the list
-_NUMBER = (1 << 32) - 1  # ... below them the rank of a listed one, and below that the number of fingerprints of its text
+_ID, _SIZE = 34, 6  # bits of a row's text: of the text's class, of its number of sequences
+_STEPS = 4  # a size's code rises by so many when it doubles
+_ROW = 17
+_LOW, _GOLD = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _flat(memo: WordIds, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,223 +54,217 @@ def _grams(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return h[inside], own[: len(h)][inside]
 
 
-def _picked(order: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """Places of the window minima.  A text of 8 w sequences has windows of w, up to WINDOW."""
-    size = np.bincount(own, minlength=n)
-    width = np.clip(size // 8, 1, WINDOW)[own]
-    taken = np.zeros(len(order), dtype=bool)
-    for w in range(1, WINDOW + 1):
-        m = len(order) - w + 1
-        if m <= 0:
-            break
-        start = np.flatnonzero((width[:m] == w) & (own[:m] == own[w - 1 :]))
-        least = start.copy()
-        for d in range(1, w):
-            least = np.where(order[start + d] < order[least], start + d, least)
-        taken[least] = True
-    return np.flatnonzero(taken)
+class Functions:
+    """The hash functions, two a tree; a tree's sketch takes BYTES of those of other trees."""
 
+    def __init__(self, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        n = 2 * TREES
+        self.mul = rng.integers(1, 2**32, n, dtype=np.uint32) | np.uint32(1)
+        self.add = rng.integers(0, 2**32, n, dtype=np.uint32)
+        self.sketch = np.stack([(2 * t + rng.permutation(np.arange(2, n))[:BYTES]) % n for t in range(TREES)])
 
-def fingerprints(memo: WordIds, texts: list[str], listed: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Fingerprint, text, place in the list (or its length), of all texts; then the number of each text's.
+    def least(self, h: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """functions x texts: the minima over each text's sequences, which begin at start."""
+        x = (h >> np.uint64(32)).astype(np.uint32)
+        return np.stack([np.minimum.reduceat(x * m + a, start) for m, a in zip(self.mul, self.add)])
 
-    listed: frequent sequences in order of value; rank: how frequent each is, and 0 for others.
-    """
-    n = len(texts)
-    ids, at = _flat(memo, texts)
-    h, own = _grams(ids, at, K)
-    where = np.searchsorted(listed, h)
-    known = where < len(listed)
-    known[known] = listed[where[known]] == h[known]
-    where[~known] = len(listed)
-    level = rank.astype(np.uint64)[where]
-    picked = _picked((level << np.uint64(40)) | (h >> np.uint64(24)), own, n)
-    fp, own, where = h[picked], own[picked], where[picked]
-    _, first = np.unique(mix(fp + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-    fp, own, where = fp[first], own[first], where[first]
-    share = KEEP / np.maximum(np.bincount(own, minlength=n), KEEP)
-    keep = (mix(fp + np.uint64(77)) >> np.uint64(11)).astype(np.float64) < share[own] * 2.0**53
-    fp, own, where = fp[keep], own[keep], where[keep]
-    short = np.flatnonzero(np.diff(at) <= TINY)
-    if len(short):
-        g, g_own = _grams(*_flat(memo, [texts[i] for i in short]), 3)
-        fp = np.concatenate((fp, mix(g + np.uint64(3))))
-        own = np.concatenate((own, short[g_own]))
-        where = np.concatenate((where, np.full(len(g), len(listed))))
-    return fp, own, where, np.bincount(own, minlength=n)
-
-
-def frequent_sequences(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences that make up FREQUENT of all, in order of value; their rank by number; which surely are frequent fingerprints.
-
-    All texts (words, held) are counted, each task leaving out those far below the share in what it
-    has seen.  The list is a preference: whatever it holds, equal runs select equal sequences.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordIds()
-        seen = {0: [np.empty(0, np.uint64), np.empty(0, np.int64), 0], 1: [np.empty(0, np.uint64), np.empty(0, np.int64), 0]}
-        waiting: dict[int, list[np.ndarray]] = {0: [], 1: []}
-
-        def settle(side: int) -> None:
-            s = seen[side]
-            new = np.concatenate(waiting[side]) if waiting[side] else np.empty(0, np.uint64)
-            waiting[side] = []
-            s[2] += len(new)
-            u, n = np.unique(new, return_counts=True)
-            both, back = np.unique(np.concatenate((s[0], u)), return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate((s[1], n)), minlength=len(both)).astype(np.int64)
-            stay = total >= max(2, FREQUENT / 4 * s[2])
-            s[0], s[1] = both[stay], total[stay]
+def signed_rows(functions: Functions, memo: WordIds, texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key (64 bits) and sketch, tree by tree for all texts that have a k-word sequence; which texts, and their size codes."""
+    h, own = _grams(*_flat(memo, texts), k)
+    if not len(h):
+        return np.empty((TREES, 0), np.uint64), np.empty((TREES, 0), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    _, first = np.unique(mix(h + own.astype(np.uint64) * _GOLD), return_index=True)
+    size = np.bincount(own[first], minlength=len(texts))[own[start]]
+    low = functions.least(h, start)
+    key = mix(mix(low[0::2].astype(np.uint64) * _GOLD + low[1::2]) + np.arange(TREES, dtype=np.uint64)[:, None] * _GOLD)
+    low = low * np.uint32(0x85EBCA6B)  # spreads the minima, which are all small
+    low = ((low ^ (low >> np.uint32(15))) & np.uint32(0xFF)).astype(np.uint8)
+    sketch = np.ascontiguousarray(low[functions.sketch].transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+    return key, sketch, own[start], np.minimum(np.floor(np.log2(size) * _STEPS).astype(np.int64), (1 << _SIZE) - 1)
 
-        for t in batches:
-            side, words = t.column("held").to_numpy(zero_copy_only=False), t.column("words").to_pylist()
-            for held in (0, 1):
-                own = [w for w, x in zip(words, side) if bool(x) == bool(held)]
-                for a, z in slices([len(w) for w in own], 1_000_000):
-                    waiting[held].append(_grams(*_flat(memo, own[a:z]), K)[0])
-                if sum(map(len, waiting[held])) > FLUSH:
-                    settle(held)
-        for held in (0, 1):
-            settle(held)
-            u, n, every = seen[held]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(u, np.uint64(0)).view(np.int64)), pa.array(np.full(len(u) + 1, held, np.int32)), pa.array(np.append(n, every)), pa.array(np.append(np.zeros(len(u), bool), True))],
-                names=["seq", "held", "n", "total"],
-            )
-
-    side = lambda x: F.coalesce(F.sum(F.when(F.col("held") == x, F.col("n"))), F.lit(0)).alias(f"n{x}")
-    counts = cut_lineage(texts.select("words", "held").mapInArrow(count, "seq long, held int, n long, total boolean").groupBy("total", "seq").agg(side(0), side(1)))
-    total = counts.where("total").agg(F.sum(F.col("n0") + F.col("n1"))).first()[0] or 0
-    rows = counts.where(~F.col("total") & (F.col("n0") + F.col("n1") >= max(2.0, FREQUENT * total))).select("seq", "n0", "n1").toArrow()  # at most 1 / FREQUENT
-    seq = rows.column("seq").to_numpy().astype(np.int64).view(np.uint64)
-    n = np.stack([rows.column(c).to_numpy().astype(np.float64) for c in ("n0", "n1")], axis=1)
-    rank = np.empty(len(seq), dtype=np.uint64)
-    rank[np.lexsort((seq, n.sum(axis=1)))] = np.arange(1, len(seq) + 1, dtype=np.uint64)
-    order = np.argsort(seq)
-    return seq[order], rank[order], ((n[:, 0] * n[:, 1] > SURE * MANY) | (n.max(axis=1) > SURE * MANY))[order]
-
-
-def _signed(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """fp, cls, row of every fingerprint of texts (cls, words, held)."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # at most 1 / FREQUENT sequences
+
+def _pack(key: np.ndarray, text: np.ndarray, sketch: np.ndarray) -> bytes:
+    """Rows sorted by key, byte after byte of all (equal leading bytes lie together)."""
+    flat = lambda x, n: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :n].T
+    return np.concatenate((flat(key.astype("<u4"), 4), flat(text.astype("<u8"), 5), flat(sketch.astype("<u8"), 8))).tobytes()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.frombuffer(data, np.uint8).reshape(_ROW, -1)
+    text = np.zeros((x.shape[1], 8), np.uint8)
+    text[:, :5] = x[4:9].T
+    return np.ascontiguousarray(x[:4].T).view("<u4")[:, 0], text.view("<i8")[:, 0], np.ascontiguousarray(x[9:].T).view("<u8")[:, 0]
+
+
+def _signed(texts: DataFrame, k: int, buckets: int) -> DataFrame:
+    """bucket, held, data: packed rows of texts (cls, words, held)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, rank, many = shared.value
-        many, rank = np.append(many, False), np.append(rank, 0).astype(np.int64)
-        memo, seen = WordIds(), set()
+        functions, memo, seen = Functions(), WordIds(), set()
+        waiting: dict[bool, list[tuple[int, str]]] = {False: [], True: []}
+        chunk = 16_384
+
+        def blobs(held: bool) -> pa.RecordBatch:
+            cls = np.array([c for c, _ in waiting[held]], dtype=np.int64)
+            words = [w for _, w in waiting[held]]
+            waiting[held] = []
+            parts = []
+            for a, z in slices([len(w) for w in words], 1_000_000):
+                key, sketch, which, size = signed_rows(functions, memo, words[a:z], k)
+                text = ((cls[a:z][which] & ((1 << _ID) - 1)) << _SIZE) | size
+                parts.append((key.ravel(), np.tile(text, TREES), sketch.ravel()))
+            key, text, sketch = (np.concatenate(x) for x in zip(*parts))
+            bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            key = key & np.uint64(0xFFFFFFFF)
+            order = np.argsort((bucket << np.uint64(32)) | key)
+            bucket, key, text, sketch = bucket[order].astype(np.int64), key[order], text[order], sketch[order]
+            at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
+            data = [_pack(key[s:e], text[s:e], sketch[s:e]) for s, e in zip(at, at[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), pa.array(np.full(len(data), held)), pa.array(data, pa.binary())], names=["bucket", "held", "data"])
+
         for t in batches:
-            cls, words, held = t.column("cls").to_pylist(), t.column("words").to_pylist(), t.column("held").to_pylist()
-            new = []  # copies within a task are signed once
-            for i, c in enumerate(zip(cls, held)):
-                if c not in seen:
-                    seen.add(c)
-                    new.append(i)
+            for c, w, x in zip(*(t.column(n).to_pylist() for n in ("cls", "words", "held"))):
+                if (c, x) in seen:  # copies within a task are signed once
+                    continue
+                seen.add((c, x))
+                waiting[x].append((c, w))
+                if len(waiting[x]) == chunk:
+                    yield blobs(x)
             if len(seen) > FLUSH:
                 seen.clear()
-            for a, z in slices([len(words[i]) for i in new], 1_000_000):
-                part = new[a:z]
-                fp, own, where, n = fingerprints(memo, [words[i] for i in part], listed, rank)
-                side = np.array([_HELD if held[i] else 0 for i in part], dtype=np.int64)
-                row = side + n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp.view(np.int64)), pa.array(np.array([cls[i] for i in part], dtype=np.int64)[own]), pa.array(row[own] + np.where(many[where], _LISTED, 0) + (rank[where] << 32))],
-                    names=["fp", "cls", "row"],
-                )
+        for x in (False, True):
+            if waiting[x]:
+                yield blobs(x)
 
-    return texts.select("cls", "words", "held").mapInArrow(sign, "fp long, cls long, row long")
+    return texts.select("cls", "words", "held").mapInArrow(sign, "bucket long, held boolean, data binary")
 
 
-def _need(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    n = np.minimum(a & _NUMBER, b & _NUMBER)
-    return np.select([n < most for most, _ in _NEED], [need for _, need in _NEED]).astype(np.int8)
+def _equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The high bit of every byte in which x and y are equal."""
+    z = x ^ y
+    return ~(((z & _LOW) + _LOW) | z | _LOW)
 
 
-def _met(rows: DataFrame, hot: bool) -> DataFrame:
-    """Of fingerprints sorted by fp and side: the pairs of those with at most MANY (cls_a, cls_b, need), or the rows of the others.
+def _pairs_of_runs(run: np.ndarray, held: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of both sides that have the same run, at most BLOCK x BLOCK pairs at a time; sorted by run, then side."""
+    start = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(run) else np.empty(0, np.int64)
+    n = np.diff(np.append(start, len(run)))
+    b = np.add.reduceat(held.astype(np.int64), start) if len(run) else n
+    a = n - b
+    some = a * b > 0
+    start, a, b = start[some], a[some], b[some]
+    end = np.cumsum(a * b)
+    for at in range(0, int(end[-1]) if len(end) else 0, BLOCK * BLOCK):
+        k = np.arange(at, min(at + BLOCK * BLOCK, end[-1]))
+        of = np.searchsorted(end, k, side="right")
+        k -= end[of] - a[of] * b[of]
+        yield rows[start[of] + k // b[of]], rows[start[of] + a[of] + k % b[of]]
 
-    A listed one is frequent wherever its rows are.  A run that goes on over batches is held until
-    it is known to be frequent, which takes few rows.
-    """
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64)] * 3
-        flowing = None  # a frequent fingerprint of which rows have been given out
-
-        def settle(fp: np.ndarray, cls: np.ndarray, row: np.ndarray, ends: bool):
-            nonlocal flowing
-            listed = (row & _LISTED) > 0
-            held = row >= _HELD
-            change = np.concatenate(([True], fp[1:] != fp[:-1]))
-            run = np.cumsum(change) - 1
-            start = np.flatnonzero(change)
-            b = np.bincount(run, weights=held).astype(np.int64)
-            a = np.bincount(run).astype(np.int64) - b
-            many = a * b > MANY
-            if not ends:
-                many[-1] |= (a[-1] > MANY) | (b[-1] > MANY)
-            if flowing is not None:
-                many[0] |= fp[0] == flowing
-            flowing = int(fp[-1]) if not ends and many[-1] else None
-            many = many[run] | listed
-            if hot:
-                return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (fp, cls, row)], names=["fp", "cls", "row"])
-            a, b = np.where(many[start], 0, a), np.where(many[start], 0, b)
-            n = a * b
-            of = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            x, y = start[of] + k // np.maximum(b[of], 1), start[of] + a[of] + k % np.maximum(b[of], 1)
-            return pa.RecordBatch.from_arrays([pa.array(cls[x]), pa.array(cls[y]), pa.array(_need(row[x], row[y]))], names=["cls_a", "cls_b", "need"])
+def met(key: np.ndarray, held: np.ndarray, text: np.ndarray, sketch: np.ndarray, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of both sides whose rows have the same key, AGREE equal bytes at least and sizes at most steps apart; the number of equal bytes.
+
+    A key with more than MANY pairs is sorted by each two bytes instead: rows that meet are equal in two,
+    and are taken where these are the first two.
+    """
+    order = np.argsort(key)
+    at = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+    n = np.diff(np.append(at, len(key)))
+    b = np.add.reduceat(held[order].astype(np.int64), at)
+    order = order[np.repeat((b > 0) & (b < n), n)]  # keys of both sides
+    key, held, text, sketch = key[order], held[order], text[order], sketch[order]
+    order = np.lexsort((text, (key << np.uint64(1)) | held))
+    key, held, text, sketch = key[order], held[order], text[order], sketch[order]
+    new = np.ones(len(key), bool)  # a text that several tasks signed counts once
+    new[1:] = (key[1:] != key[:-1]) | (held[1:] != held[:-1]) | (text[1:] != text[:-1])
+    key, held, text, sketch = key[new], held[new], text[new], sketch[new]
+    if not len(key):
+        return
+    run = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    b = np.bincount(run, weights=held).astype(np.int64)
+    many = ((np.bincount(run) - b) * b > MANY)[run]
+
+    def out(x: np.ndarray, y: np.ndarray, same: np.ndarray, keep: np.ndarray | bool = True):
+        n = np.bitwise_count(same)
+        apart = np.abs((text[x] & ((1 << _SIZE) - 1)) - (text[y] & ((1 << _SIZE) - 1)))
+        last = (1 << _SIZE) - 1  # the last code holds all larger sizes
+        near = (apart <= steps) | ((text[x] & last) == last) | ((text[y] & last) == last)
+        keep = keep & (n >= AGREE) & near
+        return text[x[keep]] >> _SIZE, text[y[keep]] >> _SIZE, n[keep].astype(np.int64)
+
+    few = np.flatnonzero(~many)
+    for x, y in _pairs_of_runs(run[few], held[few], few):
+        yield out(x, y, _equal_bytes(sketch[x], sketch[y]))
+    hot = np.flatnonzero(many)
+    if len(hot):
+        byte = [(sketch[hot] >> np.uint64(8 * i)) & np.uint64(0xFF) for i in range(BYTES)]
+        for i, j in combinations(range(BYTES), 2):
+            own = (run[hot].astype(np.uint64) << np.uint64(16)) | (byte[i] << np.uint64(8)) | byte[j]
+            order = np.lexsort((held[hot], own))
+            for x, y in _pairs_of_runs(own[order], held[hot][order], hot[order]):
+                same = _equal_bytes(sketch[x], sketch[y])
+                first, rest = same & -same, same & (same - np.uint64(1))
+                yield out(x, y, same, (first == np.uint64(1 << (8 * i + 7))) & ((rest & -rest) == np.uint64(1 << (8 * j + 7))))
+
+
+def _met(rows: DataFrame, least: float) -> DataFrame:
+    """Of packed rows: low_a, low_b (the low bits of the classes), n of every meeting."""
+    steps = int(np.ceil(_STEPS * np.log2(1 / least)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+        count, last = 0, None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            key, text, sketch, held = [], [], [], []
+            for bucket, side, data in waiting:
+                k, t, s = _unpack(data)
+                key.append((np.uint64(bucket) << np.uint64(32)) | k)
+                text.append(t)
+                sketch.append(s)
+                held.append(np.full(len(k), side))
+            for a, b, n in met(*(np.concatenate(x) for x in (key, held, text, sketch)), steps):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int8))], names=["low_a", "low_b", "n"])
 
         for t in batches:
-            part = [np.concatenate((r, t.column(c).to_numpy(zero_copy_only=False))) for r, c in zip(rest, ("fp", "cls", "row"))]
-            if not len(part[0]):
-                continue
-            new = np.concatenate(([True], (part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1]) | (part[2][1:] != part[2][:-1])))
-            part = [x[new] for x in part]
-            cut = int(np.searchsorted(part[0], part[0][-1]))
-            if len(part[0]) - cut > 2 * MANY + 1:  # all of it, the last run being frequent
-                yield settle(*part, False)
-                rest = [x[:0] for x in part]
-            else:
-                if cut:
-                    yield settle(*(x[:cut] for x in part), True)
-                rest = [x[cut:] for x in part]
-        if len(rest[0]):
-            yield settle(*rest, True)
-
-    return rows.mapInArrow(split, "fp long, cls long, row long" if hot else "cls_a long, cls_b long, need tinyint")
-
-
-def _blocked(hot: DataFrame) -> DataFrame:
-    """Pairs (cls_a, cls_b, need) of frequent fingerprints' rows, in blocks of BLOCK x BLOCK over the cluster."""
-    w = Window.partitionBy("cls", "held")  # a text has about KEEP of them
-    one = hot.withColumn("held", F.col("row") >= _HELD)  # rows are distinct already
-    rich = one.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(F.col("row").desc(), "fp"))})
-    rich = rich.where((F.col("_n") >= REST * F.col("row").bitwiseAND(_NUMBER)) & (F.col("_r") > SPARE)).drop("_n", "_r")
-    rows = rich.repartition("fp")
-    blocks = lambda held: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("held") == held) / BLOCK)).cast("int")
-    size = rows.groupBy("fp").agg(blocks(False).alias("_a"), blocks(True).alias("_b"), F.count_if("held").alias("_h"), F.count("*").alias("_n")).where("_h > 0 and _h < _n")
-    r = rows.join(size, "fp").withColumn("_own", F.pmod(F.xxhash64("cls"), F.when(F.col("held"), F.col("_b")).otherwise(F.col("_a"))).cast("int"))
-    r = r.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("held"), F.col("_a")).otherwise(F.col("_b")) - 1)))
-    a = r.where("not held").select("fp", F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.col("cls").alias("cls_a"), F.col("row").alias("_ra"))
-    b = r.where("held").select("fp", F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.col("cls").alias("cls_b"), F.col("row").alias("_rb"))
-    n = F.least(F.col("_ra").bitwiseAND(_NUMBER), F.col("_rb").bitwiseAND(_NUMBER))
-    need = F.lit(_NEED[-1][1])
-    for most, least in reversed(_NEED[:-1]):
-        need = F.when(n < most, least).otherwise(need)
-    return a.join(b, ["fp", "_i", "_j"]).select("cls_a", "cls_b", need.cast("tinyint").alias("need"))
-
-
-def candidates(train: DataFrame, held: DataFrame) -> DataFrame:
-    """cls_a (train), cls_b (held out), words_a, words_b of the texts that share enough fingerprints."""
+            for bucket, side, data in zip(t.column("bucket").to_pylist(), t.column("held").to_pylist(), t.column("data")):
+                if bucket != last and count >= BUCKET:  # small buckets are taken together
+                    yield from settle()
+                    waiting, count = [], 0
+                last = bucket
+                waiting.append((bucket, side, data.as_py()))
+                count += len(waiting[-1][2]) // _ROW
+        if waiting:
+            yield from settle()
+
+    return rows.mapInArrow(meet, "low_a long, low_b long, n tinyint")
+
+
+def candidates(train: DataFrame, held: DataFrame, k: int = 3, least: float = 0.5) -> DataFrame:
+    """cls_a (train), cls_b (held out), words_a, words_b of the texts that meet often enough."""
     texts = train.select("cls", "words", F.lit(False).alias("held")).unionByName(held.select("cls", "words", F.lit(True).alias("held")))
-    signed = _signed(texts, frequent_sequences(texts))
-    spread = F.when(F.col("row").bitwiseAND(_LISTED) > 0, F.xxhash64("fp", "cls")).otherwise(F.xxhash64("fp"))  # listed ones over all tasks
-    rows = signed.withColumn("_at", spread).repartition("_at").drop("_at").sortWithinPartitions("fp", "row", "cls")
-    met = _met(rows, False).unionByName(_blocked(_met(rows, True)))
-    enough = met.groupBy("cls_a", "cls_b").agg(F.count("*").alias("_n"), F.max("need").alias("_need")).where("_n >= _need").select("cls_a", "cls_b")
-    return with_texts(cut_lineage(enough), texts.select("cls", "words"))
+    n = (train.count() + held.count()) * TREES
+    rows = _signed(texts, k, max(1, n // BUCKET)).repartition("bucket").sortWithinPartitions("bucket")
+    pairs = cut_lineage(_met(rows, least).groupBy("low_a", "low_b").agg(F.sum("n").alias("_n")).where(F.col("_n") >= ENOUGH).select("low_a", "low_b"))
+    return _gathered(pairs, texts)
+
+
+def _gathered(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """cls_a, cls_b, words_a, words_b of pairs (low_a, low_b): of all classes that have these low bits on their side.
+
+    Only texts that stand in a pair are gathered, once.  Marks as in `with_texts`.
+    """
+    need = pairs.select(F.explode(F.array("low_a", "low_b")).alias("low")).distinct()
+    mark = F.pmod(F.xxhash64("low"), F.lit(MARKS))
+    marks = need.select(mark.alias("_mark")).distinct()
+    low = texts.withColumn("low", F.col("cls").bitwiseAND((1 << _ID) - 1))
+    some = low.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", "left_semi").join(need, "low", "left_semi")
+    one = some.groupBy("low", "cls").agg(F.first("words").alias("words"), F.max("held").alias("_b"), F.max(~F.col("held")).alias("_a"))
+    side = lambda x: one.where(f"_{x}").select(F.col("low").alias(f"low_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("words").alias(f"words_{x}"))
+    return pairs.join(side("a"), "low_a").join(side("b"), "low_b").select("cls_a", "cls_b", "words_a", "words_b")
 
 
 def _chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -355,8 +346,8 @@ def overlapping_classes(train: DataFrame, held: DataFrame, k: int = 3, least: fl
     under k words are similar to nothing.  coverage: share of the held-out text's words that the chain covers.
     """
     if least < 0.5 or k > 3:
-        raise ValueError("fingerprints are made for similarities of at least 0.5 and sequences of at most three words")
-    return _aligned(candidates(train, held), k, least)
+        raise ValueError("candidates are made for similarities of at least 0.5 and sequences of at most three words")
+    return _aligned(candidates(train, held, k, least), k, least)
 
 
 def overlapping_records(train: DataFrame, held: DataFrame, k: int = 3, least: float = 0.5) -> DataFrame:

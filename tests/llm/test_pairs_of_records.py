@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from conftest import rows
@@ -210,3 +211,49 @@ def test_near_duplicates_at_the_lower_edge(spark, monkeypatch):
     monkeypatch.setattr(llm_queries, "read", lambda *_: df)
     got = rows(llm_queries.p4_found(spark, ""))
     assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+
+
+def test_moved_blocks_overlap(spark):
+    """Blocks of six or seven words in another order: no run of eight words is common, and long texts share no more than short ones."""
+    train, held = [], []
+    for n in range(60):
+        for block, blocks in ((7, 9), (7, 17), (7, 40), (6, 300)):
+            r = random.Random(len(train))
+            w = [[f"b{len(train)}x{i}x{j}" for j in range(block)] for i in range(blocks)]
+            train.append(record(len(train), " ".join(x for y in w for x in y)))
+            r.shuffle(w)
+            held.append(record(1000 + len(held), " ".join(x for y in w for x in y)))
+    want = sorted((a[0], b[0]) for a, b in zip(train, held) if similar(a, b, 3, 0.5))
+    assert len(want) > 200
+    assert rows(winnow.overlapping_records(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(held, SCHEMA))) == want
+
+
+def test_few_words_in_any_order_overlap(spark):
+    """Of texts over nine words, most sequences of three are common, and hardly any of five."""
+    r = random.Random(5)
+    data = [record(i, " ".join(r.choice("abcdefghi") for _ in range(2_500))) for i in range(40)]
+    want = sorted((a[0], b[0]) for a in data[:20] for b in data[20:] if similar(a, b, 3, 0.5))
+    assert len(want) == 400
+    assert rows(winnow.overlapping_records(spark.createDataFrame(data[:20], SCHEMA), spark.createDataFrame(data[20:], SCHEMA))) == want
+
+
+@pytest.mark.parametrize("many", [10**9, 0])
+def test_rows_of_a_key_meet_as_by_brute_force(monkeypatch, many):
+    monkeypatch.setattr(winnow, "MANY", many)
+    monkeypatch.setattr(winnow, "BLOCK", 9)
+    rng = np.random.default_rng(1)
+    n = 600
+    key, held = rng.integers(0, 4, n).astype(np.uint64), rng.random(n) < 0.4
+    text = (np.arange(n) << 6) | rng.integers(20, 30, n)
+    text[:50], key[:50], held[:50] = text[50:100], key[50:100], held[50:100]  # signed by two tasks
+    byte = rng.integers(0, 3, (n, winnow.BYTES)).astype(np.uint8)
+    byte[:50] = byte[50:100]
+    sketch = np.ascontiguousarray(byte).view(np.uint64)[:, 0]
+    want = {}
+    for i in np.flatnonzero(~held):
+        for j in np.flatnonzero(held):
+            same = int((byte[i] == byte[j]).sum())
+            if key[i] == key[j] and same >= winnow.AGREE and abs((text[i] & 63) - (text[j] & 63)) <= 4:
+                want[int(text[i] >> 6), int(text[j] >> 6)] = same
+    got = [tuple(map(int, x)) for part in winnow.met(key, held, text, sketch, 4) for x in zip(*part)]
+    assert len(want) > 1_000 and sorted(got) == sorted((a, b, s) for (a, b), s in want.items())
