@@ -5,11 +5,11 @@
    run of equal words is needed, so edits may stand anywhere and blocks of words may be moved.
 2. Rows of both sides with the same key and AGREE equal bytes at least meet; pairs whose meetings have
    ENOUGH equal bytes together are candidates.  A pair at similarity 0.50 fails to be one with a chance of about
-   4 in a million (3,000,000 simulated draws); nothing else can lose a pair, as every meeting of every key is counted.
+   13 in a million (3,000,000 simulated draws); nothing else can lose a pair, as every meeting of every key is counted.
 3. Seeds (common K-word sequences) of a candidate are chained collinearly, the chain is extended over
    substitutions along its diagonals, and a pair with a chain is decided by its exact similarity.
 
-Rows travel packed, 17 bytes each, in one blob for each bucket of keys, and are sorted and compared as arrays.
+Rows travel packed, 21 bytes each, in one blob for each bucket of keys, and are sorted and compared as arrays.
 """
 
 from __future__ import annotations
@@ -29,15 +29,17 @@ from .verify import MARKS
 from .words import WordIds, mix, sequences
 
 K = 5
-TREES, BYTES, AGREE, ENOUGH = 64, 8, 2, 5
+TREES, BYTES, AGREE, ENOUGH = 64, 12, 4, 5
 MANY = 20_000  # pairs of one key beyond which its rows are sorted by pairs of sketch bytes before they are compared
 BLOCK = 1024  # BLOCK x BLOCK pairs are compared at a time
 BUCKET = 1 << 17  # rows of a bucket, about
 FLUSH = 2_000_000
+TASK = 1 << 20  # rows of a task that pairs them, about
 _ID, _SIZE = 34, 6  # bits of a row's text: of the text's class, of its number of sequences
 _STEPS = 4  # a size's code rises by so many when it doubles
-_ROW = 17
+_ROW = 21
 _LOW, _GOLD = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x9E3779B97F4A7C15)
+_PLACES = (0, 1, 8, 9, 16, 17, 24, 25, 32, 40, 48, 56)  # bits that tell which bytes of two sketches are equal: byte / 8 of the first word, or 1 more of the second
 
 
 def _flat(memo: WordIds, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +73,10 @@ class Functions:
 
 
 def signed_rows(functions: Functions, memo: WordIds, texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key (64 bits) and sketch, tree by tree for all texts that have a k-word sequence; which texts, and their size codes."""
+    """Key (64 bits) and sketch (two words, the second half filled), tree by tree for all texts that have a k-word sequence; which texts, and their size codes."""
     h, own = _grams(*_flat(memo, texts), k)
     if not len(h):
-        return np.empty((TREES, 0), np.uint64), np.empty((TREES, 0), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty((TREES, 0), np.uint64), np.empty((TREES, 0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     _, first = np.unique(mix(h + own.astype(np.uint64) * _GOLD), return_index=True)
     size = np.bincount(own[first], minlength=len(texts))[own[start]]
@@ -82,21 +84,25 @@ def signed_rows(functions: Functions, memo: WordIds, texts: list[str], k: int) -
     key = mix(mix(low[0::2].astype(np.uint64) * _GOLD + low[1::2]) + np.arange(TREES, dtype=np.uint64)[:, None] * _GOLD)
     low = low * np.uint32(0x85EBCA6B)  # spreads the minima, which are all small
     low = ((low ^ (low >> np.uint32(15))) & np.uint32(0xFF)).astype(np.uint8)
-    sketch = np.ascontiguousarray(low[functions.sketch].transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+    sketch = np.zeros((TREES, low.shape[1], 16), np.uint8)
+    sketch[:, :, :BYTES] = low[functions.sketch].transpose(0, 2, 1)
+    sketch = sketch.view(np.uint64)
     return key, sketch, own[start], np.minimum(np.floor(np.log2(size) * _STEPS).astype(np.int64), (1 << _SIZE) - 1)
 
 
 def _pack(key: np.ndarray, text: np.ndarray, sketch: np.ndarray) -> bytes:
     """Rows sorted by key, byte after byte of all (equal leading bytes lie together)."""
     flat = lambda x, n: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :n].T
-    return np.concatenate((flat(key.astype("<u4"), 4), flat(text.astype("<u8"), 5), flat(sketch.astype("<u8"), 8))).tobytes()
+    return np.concatenate((flat(key.astype("<u4"), 4), flat(text.astype("<u8"), 5), flat(sketch.astype("<u8"), BYTES))).tobytes()
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.frombuffer(data, np.uint8).reshape(_ROW, -1)
     text = np.zeros((x.shape[1], 8), np.uint8)
     text[:, :5] = x[4:9].T
-    return np.ascontiguousarray(x[:4].T).view("<u4")[:, 0], text.view("<i8")[:, 0], np.ascontiguousarray(x[9:].T).view("<u8")[:, 0]
+    sketch = np.zeros((x.shape[1], 16), np.uint8)
+    sketch[:, :BYTES] = x[9:].T
+    return np.ascontiguousarray(x[:4].T).view("<u4")[:, 0], text.view("<i8")[:, 0], sketch.view("<u8")
 
 
 def _signed(texts: DataFrame, k: int, buckets: int) -> DataFrame:
@@ -115,7 +121,7 @@ def _signed(texts: DataFrame, k: int, buckets: int) -> DataFrame:
             for a, z in slices([len(w) for w in words], 1_000_000):
                 key, sketch, which, size = signed_rows(functions, memo, words[a:z], k)
                 text = ((cls[a:z][which] & ((1 << _ID) - 1)) << _SIZE) | size
-                parts.append((key.ravel(), np.tile(text, TREES), sketch.ravel()))
+                parts.append((key.ravel(), np.tile(text, TREES), sketch.reshape(-1, 2)))
             key, text, sketch = (np.concatenate(x) for x in zip(*parts))
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             key = key & np.uint64(0xFFFFFFFF)
@@ -143,9 +149,10 @@ def _signed(texts: DataFrame, k: int, buckets: int) -> DataFrame:
 
 
 def _equal_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The high bit of every byte in which x and y are equal."""
+    """Bits at _PLACES of the bytes in which sketches x and y are equal."""
     z = x ^ y
-    return ~(((z & _LOW) + _LOW) | z | _LOW)
+    same = ~(((z & _LOW) + _LOW) | z | _LOW)  # the high bit of each byte
+    return (same[:, 0] >> np.uint64(7)) | ((same[:, 1] & np.uint64(0xFFFFFFFF)) >> np.uint64(6))
 
 
 def _pairs_of_runs(run: np.ndarray, held: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -200,14 +207,14 @@ def met(key: np.ndarray, held: np.ndarray, text: np.ndarray, sketch: np.ndarray,
         yield out(x, y, _equal_bytes(sketch[x], sketch[y]))
     hot = np.flatnonzero(many)
     if len(hot):
-        byte = [(sketch[hot] >> np.uint64(8 * i)) & np.uint64(0xFF) for i in range(BYTES)]
-        for i, j in combinations(range(BYTES), 2):
+        byte = {i: (sketch[hot, i % 8] >> np.uint64(i - i % 8)) & np.uint64(0xFF) for i in _PLACES}
+        for i, j in combinations(_PLACES[: BYTES - AGREE + 2], 2):  # two of AGREE bytes are among these
             own = (run[hot].astype(np.uint64) << np.uint64(16)) | (byte[i] << np.uint64(8)) | byte[j]
             order = np.lexsort((held[hot], own))
             for x, y in _pairs_of_runs(own[order], held[hot][order], hot[order]):
                 same = _equal_bytes(sketch[x], sketch[y])
                 first, rest = same & -same, same & (same - np.uint64(1))
-                yield out(x, y, same, (first == np.uint64(1 << (8 * i + 7))) & ((rest & -rest) == np.uint64(1 << (8 * j + 7))))
+                yield out(x, y, same, (first == np.uint64(1 << i)) & ((rest & -rest) == np.uint64(1 << j)))
 
 
 def _met(rows: DataFrame, least: float) -> DataFrame:
@@ -247,7 +254,9 @@ def candidates(train: DataFrame, held: DataFrame, k: int = 3, least: float = 0.5
     """cls_a (train), cls_b (held out), words_a, words_b of the texts that meet often enough."""
     texts = train.select("cls", "words", F.lit(False).alias("held")).unionByName(held.select("cls", "words", F.lit(True).alias("held")))
     n = (train.count() + held.count()) * TREES
-    rows = _signed(texts, k, max(1, n // BUCKET)).repartition("bucket").sortWithinPartitions("bucket")
+    tasks = n // TASK  # where the session has fewer, a task would have to hold more
+    parts = (tasks,) if tasks > int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    rows = _signed(texts, k, max(1, n // BUCKET)).repartition(*parts, "bucket").sortWithinPartitions("bucket")
     pairs = cut_lineage(_met(rows, least).groupBy("low_a", "low_b").agg(F.sum("n").alias("_n")).where(F.col("_n") >= ENOUGH).select("low_a", "low_b"))
     return _gathered(pairs, texts)
 
@@ -262,7 +271,7 @@ def _gathered(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     marks = need.select(mark.alias("_mark")).distinct()
     low = texts.withColumn("low", F.col("cls").bitwiseAND((1 << _ID) - 1))
     some = low.withColumn("_mark", mark).join(F.broadcast(marks), "_mark", "left_semi").join(need, "low", "left_semi")
-    one = some.groupBy("low", "cls").agg(F.first("words").alias("words"), F.max("held").alias("_b"), F.max(~F.col("held")).alias("_a"))
+    one = cut_lineage(some.groupBy("low", "cls").agg(F.first("words").alias("words"), F.max("held").alias("_b"), F.max(~F.col("held")).alias("_a")))
     side = lambda x: one.where(f"_{x}").select(F.col("low").alias(f"low_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("words").alias(f"words_{x}"))
     return pairs.join(side("a"), "low_a").join(side("b"), "low_b").select("cls_a", "cls_b", "words_a", "words_b")
 

@@ -246,14 +246,36 @@ def test_rows_of_a_key_meet_as_by_brute_force(monkeypatch, many):
     key, held = rng.integers(0, 4, n).astype(np.uint64), rng.random(n) < 0.4
     text = (np.arange(n) << 6) | rng.integers(20, 30, n)
     text[:50], key[:50], held[:50] = text[50:100], key[50:100], held[50:100]  # signed by two tasks
-    byte = rng.integers(0, 3, (n, winnow.BYTES)).astype(np.uint8)
+    byte = np.zeros((n, 16), np.uint8)
+    byte[:, : winnow.BYTES] = rng.integers(0, 3, (n, winnow.BYTES))
     byte[:50] = byte[50:100]
-    sketch = np.ascontiguousarray(byte).view(np.uint64)[:, 0]
+    sketch = byte.view(np.uint64)
     want = {}
     for i in np.flatnonzero(~held):
         for j in np.flatnonzero(held):
-            same = int((byte[i] == byte[j]).sum())
+            same = int((byte[i] == byte[j])[: winnow.BYTES].sum())
             if key[i] == key[j] and same >= winnow.AGREE and abs((text[i] & 63) - (text[j] & 63)) <= 4:
                 want[int(text[i] >> 6), int(text[j] >> 6)] = same
     got = [tuple(map(int, x)) for part in winnow.met(key, held, text, sketch, 4) for x in zip(*part)]
     assert len(want) > 1_000 and sorted(got) == sorted((a, b, s) for (a, b), s in want.items())
+
+
+def test_a_row_takes_21_bytes():
+    rng = np.random.default_rng(2)
+    text = rng.integers(0, 1 << 40, 50)
+    sketch = rng.integers(0, 2**64, (50, 2), dtype=np.uint64) & np.array([2**64 - 1, 2**32 - 1], np.uint64)
+    key = np.sort(rng.integers(0, 2**32, 50, dtype=np.uint64))
+    data = winnow._pack(key, text, sketch)
+    assert len(data) == 50 * 21
+    assert all((x == y).all() for x, y in zip(winnow._unpack(data), (key, text, sketch)))
+
+
+def test_unlike_texts_rarely_meet():
+    """Rows of one key whose texts are at similarity 0.15: few go on to be counted, so that their number stays small in large tables."""
+    rng = np.random.default_rng(3)
+    n = 400
+    byte = np.zeros((n, 16), np.uint8)
+    common = rng.integers(0, 256, winnow.BYTES)
+    byte[:, : winnow.BYTES] = np.where(rng.random((n, winnow.BYTES)) < 0.4, common, rng.integers(0, 256, (n, winnow.BYTES)))  # two agree in 0.16
+    got = sum(len(x) for x, _, _ in winnow.met(np.zeros(n, np.uint64), np.arange(n) % 2 == 1, np.arange(n) << 6, byte.view(np.uint64), 4))
+    assert got < 0.2 * (n // 2) ** 2
